@@ -81,12 +81,14 @@ SOURCE_SQL: dict[str, str] = {
         FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey
     """,
     "contact": f"""
-        SELECT {_CONTACT} AS csn, o_custkey AS pat_id, max(l_shipdate) AS contact_ts,
-               CASE WHEN max(l_discount) < 0.10 THEN 3 ELSE CASE max(l_returnflag) WHEN 'R' THEN 2 WHEN 'A' THEN 6 ELSE 4 END END AS appt_status_c,
-               min(l_suppkey) AS department_id, min(l_partkey) AS provider_id,
-               max(l_shipdate) - INTERVAL '30' DAY AS entry_ts
-        FROM {{lineitem}} JOIN {{orders}} ON o_orderkey = l_orderkey
-        GROUP BY l_orderkey, l_linenumber, o_custkey
+        SELECT {_CONTACT} AS csn, o_custkey AS pat_id, shipped AS contact_ts,
+               CASE WHEN discount < 0.10 THEN 3 WHEN flag = 3 THEN 2 WHEN flag = 1 THEN 6 ELSE 4 END AS appt_status_c,
+               suppkey AS department_id, partkey AS provider_id, shipped - INTERVAL '30' DAY AS entry_ts
+        FROM (SELECT l_orderkey, l_linenumber, max(l_shipdate) AS shipped, max(l_discount) AS discount,
+                     max(CASE l_returnflag WHEN 'R' THEN 3 WHEN 'N' THEN 2 ELSE 1 END) AS flag,
+                     min(l_suppkey) AS suppkey, min(l_partkey) AS partkey
+              FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber) AS x
+        JOIN {{orders}} ON o_orderkey = l_orderkey
         UNION ALL
         SELECT o_orderkey, o_custkey, o_orderdate, NULL, NULL, NULL,
                CASE o_orderstatus WHEN 'P' THEN o_orderdate - INTERVAL '10' DAY
@@ -164,26 +166,34 @@ SOURCE_SQL: dict[str, str] = {
                CASE WHEN o_totalprice < 40000 THEN 15 ELSE 16 END AS origin_c
         FROM {orders} WHERE o_orderstatus <> 'F'
     """,
-    "request_detail": f"""
+    "request_detail": """
         SELECT o_orderkey AS comm_id,
                CASE WHEN o_totalprice > 430000 THEN 6 WHEN o_totalprice > 400000 THEN 2
                     WHEN o_totalprice > 390000 THEN NULL ELSE 4 END AS status_c,
                CAST(floor(o_totalprice / 100000) AS INT) AS transfer_type_c,
                CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 300000 THEN NULL ELSE 1391 END AS region_id
-        FROM {{orders}} WHERE o_orderstatus <> 'F'
+        FROM {orders} WHERE o_orderstatus <> 'F'
+        UNION ALL
+        SELECT -(o_orderkey * 2) - 1, CASE WHEN o_orderpriority = '5-LOW' THEN 5 ELSE 4 END, NULL, NULL FROM {orders}
         UNION ALL
-        SELECT {_DESTINATION}, CASE WHEN l_linestatus = 'F' THEN 2 WHEN count(*) = 1 THEN 5 ELSE 4 END, NULL, NULL
-        FROM {{lineitem}} GROUP BY l_orderkey, l_linestatus
+        SELECT -(o_orderkey * 2 + 1) - 1, CASE WHEN o_totalprice > 440000 THEN NULL ELSE 2 END, NULL, NULL FROM {orders}
     """,
-    "attachment": f"""
-        SELECT l_orderkey AS comm_id, 21 AS attachment_c, NULL AS csn, {_DESTINATION} AS target_comm_id,
-               min(l_linenumber) AS reason_c
-        FROM {{lineitem}} GROUP BY l_orderkey, l_linestatus
+    "attachment": """
+        SELECT o_orderkey AS comm_id, 21 AS attachment_c, NULL AS csn, -(o_orderkey * 2) - 1 AS target_comm_id, 1 AS reason_c
+        FROM {orders}
+        UNION ALL
+        SELECT o_orderkey, 21, NULL, -(o_orderkey * 2 + 1) - 1, 2 FROM {orders} WHERE o_totalprice > 100000
+        UNION ALL
+        SELECT -(o_orderkey * 2) - 1, 20, CASE WHEN o_totalprice > 250000 THEN o_orderkey ELSE o_orderkey + 1 END, NULL, NULL
+        FROM {orders}
+        UNION ALL
+        SELECT -(o_orderkey * 2 + 1) - 1, 20, CASE WHEN o_orderpriority = '3-MEDIUM' THEN o_orderkey - 1 ELSE o_orderkey END,
+               NULL, NULL
+        FROM {orders}
         UNION ALL
-        SELECT {_DESTINATION}, 20, CASE WHEN l_linestatus = 'F' THEN l_orderkey ELSE l_orderkey + 1 END, NULL, NULL
-        FROM {{lineitem}} GROUP BY l_orderkey, l_linestatus
+        SELECT -(l_orderkey * 2 + 1) - 1, 20, l_orderkey, NULL, NULL FROM {lineitem} WHERE l_linenumber = 7
         UNION ALL
-        SELECT l_orderkey, 22, l_orderkey, NULL, NULL FROM {{lineitem}} WHERE l_linenumber = 1
+        SELECT l_orderkey, 22, l_orderkey, NULL, NULL FROM {lineitem} WHERE l_linenumber = 1
     """,
     "status_history": f"""
         SELECT {_DESTINATION} AS comm_id, l_linenumber AS line,

@@ -237,7 +237,7 @@ def _(f):
        FROM asks""",
 )
 def _(f):
-    return transfers.transfer_requests(f.tables, f.cfg)
+    return repeat_rows(transfers.transfer_requests(f.tables, f.cfg))
 
 
 @query(
@@ -255,7 +255,7 @@ def _(f):
        FROM places WHERE place = 1""",
 )
 def _(f):
-    return transfers.transfer_destinations(f.tables, f.cfg)
+    return repeat_rows(transfers.transfer_destinations(f.tables, f.cfg))
 
 
 # -- survival curves ---------------------------------------------------------------
@@ -420,19 +420,19 @@ _CUR_DAYS = """SELECT csn, days_into_admission, days_out, CAST(probability AS DO
 
 def _current_days(f):
     chances = survival.conditional_occupancy(
-        f.current_tagged, f.service_curves, "service_group", "service_name", f.cfg.horizon, f.cfg.curve_days
+        f.current_tagged, f.service_curves, "service_name", f.cfg.horizon, f.cfg.curve_days
     )
     return repeat_rows(chances).select(
         "csn", "days_into_admission", "days_out", "probability", "Pt_Type", "sub_type", "severity_level"
     )
 
 
-@query("q30_conditional_survival", f"{_CUR_DAYS} WHERE days_into_admission <= {FAR}")
+@staged_query("q30_conditional_survival", f"{_CUR_DAYS} WHERE days_into_admission <= {FAR}")
 def _(f):
     return _current_days(f).where(F.col("days_into_admission") <= f.cfg.curve_days)
 
 
-@query("q31_long_stays", f"{_CUR_DAYS} WHERE days_into_admission > {FAR}")
+@staged_query("q31_long_stays", f"{_CUR_DAYS} WHERE days_into_admission > {FAR}")
 def _(f):
     return _current_days(f).where(F.col("days_into_admission") > f.cfg.curve_days)
 

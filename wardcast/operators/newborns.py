@@ -17,16 +17,19 @@ def mothers_by_day(deliveries: DataFrame) -> DataFrame:
     """Deliveries a newborn admitted on ``near_day`` can belong to, counted.
 
     A birth counts for its own day and the day on either side, which turns the
-    one-day tolerance into an equality on patient and day. Counting per patient
-    and day first keeps a patient with very many deliveries small.
+    one-day tolerance into an equality on patient and day: the keys the rows are
+    counted by, map side first, and then joined on. A patient has one status.
     """
+    near = F.explode(F.array(*[F.date_add(F.to_date("birth_ts"), n) for n in (-1, 0, 1)]))
     return (
         deliveries.where(F.col("birth_ts").isNotNull())
-        .groupBy("pat_id", "ob_status", F.to_date("birth_ts").alias("birth_day"))
-        .agg(F.count("*").alias("n"), F.min("csn").alias("mother_csn"))
-        .withColumn("shift", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-        .groupBy("pat_id", "ob_status", F.date_add("birth_day", F.col("shift")).alias("near_day"))
-        .agg(F.sum("n").alias("copies"), F.min("mother_csn").alias("mother_csn"))
+        .select("pat_id", "csn", "ob_status", near.alias("near_day"))
+        .groupBy("pat_id", "near_day")
+        .agg(
+            F.count("*").alias("copies"),
+            F.min("csn").alias("mother_csn"),
+            F.max("ob_status").alias("ob_status"),
+        )
     )
 
 

@@ -16,8 +16,8 @@ NORMAL = "Normal"
 def prior_contacts(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
     """Kept prenatal contacts with the due date and risk flag they carry.
 
-    Due dates are collapsed per contact before they meet the contacts, and the
-    join and the final grouping share the contact id, so contacts move once.
+    Due dates are collapsed per contact before they meet the contacts, so every
+    join adds columns to a contact and none multiplies it.
     """
     codes = cfg.codes
     due = (
@@ -43,25 +43,28 @@ def prior_contacts(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
         .join(tables["appt_status"], "appt_status_c")
         .join(tables["provider"], "provider_id")
         .join(due_by_contact, "csn")
-        .groupBy("csn", "contact_ts", "pat_id")
-        .agg(
-            F.coalesce(F.max("due_user_ts"), F.max("due_system_ts")).alias("due_ts"),
-            F.max("appt_status").alias("appt_status"),
-            F.max(F.lit(codes.working_due_date)).alias("is_working"),
-            F.max(high_risk).alias("high_risk"),
+        .select(
+            "csn",
+            "contact_ts",
+            "pat_id",
+            F.coalesce("due_user_ts", "due_system_ts").alias("due_ts"),
+            "appt_status",
+            F.lit(codes.working_due_date).alias("is_working"),
+            high_risk.alias("high_risk"),
         )
     )
 
 
-def patient_status(contacts: DataFrame) -> DataFrame:
+def patient_status(contacts: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """Risk status and the due date of the latest contact, per patient.
 
     The latest contact is found inside the aggregate, so the contacts are not
     joined to themselves. Among contacts at the same time the latest due date wins.
     """
     latest = F.max(F.struct("contact_ts", "due_ts"))
+    any_high_risk = F.max(F.col("high_risk").isNotNull())
     return contacts.groupBy("pat_id").agg(
-        F.coalesce(F.max("high_risk"), F.lit(NORMAL)).alias("ob_status"),
+        F.when(any_high_risk, cfg.codes.high_risk_marker).otherwise(NORMAL).alias("ob_status"),
         latest["contact_ts"].alias("last_contact_ts"),
         latest["due_ts"].alias("due_ts"),
     )

@@ -39,8 +39,9 @@ def _procedures(tables: SourceTables) -> DataFrame:
 def performed_surgeries(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
     """Performed surgeries that were booked before the patient was admitted.
 
-    Log, detail and link share the log id; the encounter join comes last so that
-    ranking per encounter finds the rows already in place.
+    Log, detail and link share the log id. The encounter is joined before the
+    booking contact: ranking per encounter then needs a shuffle of its own, and
+    the rows of an encounter with very many surgeries are cut down ahead of it.
     """
     codes = cfg.codes
     performed = tables["surgery_status"].where(F.col("status_name").isin(*codes.performed_status))
@@ -61,9 +62,9 @@ def performed_surgeries(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
         .join(tables["surgery_log_detail"], "log_id")
         .join(links, "log_id")
         .join(_procedures(tables), "procedure_id")
-        .join(booked, "contact_csn")
         .withColumn("csn", F.coalesce("admission_csn", "contact_csn"))
         .join(admitted, "csn")
+        .join(booked, "contact_csn")
         .where(F.col("entry_ts") < F.col("admit_ts"))
         .select("csn", "surgery_ts", "entry_ts", "log_id", "primary_procedure", "surgical_location")
     )

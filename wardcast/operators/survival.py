@@ -62,52 +62,48 @@ def survival_curve(
     )
 
 
-def remaining_stay(curve: DataFrame, group: str, match: str, horizon: int) -> DataFrame:
-    """Chance to stay ``k`` more days given ``m`` days so far, as one array per (match, m).
+def remaining_stay(
+    reached: DataFrame, curve: DataFrame, match: str, horizon: int, curve_days: int
+) -> DataFrame:
+    """Chance to stay ``days_out`` more days after ``days_into_admission`` days.
 
-    The ratio is P(m + k) / P(m). Where P(m) is 0 nothing is known and the
-    patient is assumed to stay. Curves are per (group, match) but looked up by
-    ``match`` alone, so a value found in several groups yields every pairing.
+    ``reached`` lists the (match, days) pairs wanted. The chance is P(m + n) / P(m);
+    where P(m) is 0 nothing is known and the patient is assumed to stay. Curves
+    may be kept per finer group than ``match``; a value found in several groups
+    yields every pairing.
     """
-    days = (
-        curve.groupBy(group, match)
-        .agg(F.array_sort(F.collect_list(F.struct("day_num", "probability"))).alias("_days"))
-        .select(match, F.transform("_days", lambda d: d["probability"]).alias("_p"))
-    )
-    given = days.withColumnRenamed("_p", "_given")
-    per_day = given.join(days, match).select(
-        match, "_p", F.posexplode("_given").alias("days_into_admission", "_reached")
-    )
-    ratio = F.transform(
-        F.slice("_p", F.col("days_into_admission") + 1, horizon + 1),
-        lambda p: F.when(F.col("_reached") > 0, p / F.col("_reached")).otherwise(F.lit(1.0)),
+    stayed, ahead = F.col("days_into_admission"), F.col("days_out")
+    so_far = curve.select(match, F.col("day_num").alias("days_into_admission"), F.col("probability").alias("_so_far"))
+    later = curve.select(match, F.col("day_num").alias("_day"), F.col("probability").alias("_later"))
+    days = F.explode(F.sequence(F.lit(0), F.least(F.lit(horizon), F.lit(curve_days) - stayed)))
+    chance = F.when(F.col("_so_far") > 0, F.col("_later") / F.col("_so_far")).otherwise(F.lit(1.0))
+    return (
+        reached.join(so_far, [match, "days_into_admission"])
+        .withColumn("days_out", days)
+        .withColumn("_day", stayed + ahead)
+        .join(later, [match, "_day"])
+        .select(match, "days_into_admission", "days_out", chance.alias("probability"))
     )
-    return per_day.select(match, "days_into_admission", ratio.alias("chances"))
 
 
 def conditional_occupancy(
-    current: DataFrame,
-    curve: DataFrame,
-    group: str,
-    match: str,
-    horizon: int,
-    curve_days: int,
+    current: DataFrame, curve: DataFrame, match: str, horizon: int, curve_days: int
 ) -> DataFrame:
     """Expected presence of current inpatients for each day 0..horizon from now.
 
-    Patients meet their curve once, on type and days stayed, and only then fan
-    out to days. Patients beyond the end of the curves are assumed to stay, and
-    patients whose type has no curve drop out.
+    The chances are worked out once per type and days stayed, a table bounded by
+    types and days, and the patients meet it in one equality join. Patients
+    beyond the end of the curves are assumed to stay, and patients whose type has
+    no curve drop out.
     """
     stayed = F.col("days_into_admission")
-    known = current.where(stayed <= curve_days).join(
-        remaining_stay(curve, group, match, horizon), [match, "days_into_admission"]
-    )
-    always = F.array_repeat(F.lit(1.0), horizon + 1)
-    beyond = current.where(stayed > curve_days).withColumn("chances", always)
-    columns = current.columns
-    return (
-        known.select(*columns, "chances")
-        .union(beyond.select(*columns, "chances"))
-        .select(*columns, F.posexplode("chances").alias("days_out", "probability"))
+    on_curve = current.where(stayed <= curve_days)
+    reached = on_curve.select(match, "days_into_admission").distinct()
+    chances = remaining_stay(reached, curve, match, horizon, curve_days)
+    known = on_curve.join(chances, [match, "days_into_admission"])
+    beyond = (
+        current.where(stayed > curve_days)
+        .withColumn("days_out", F.explode(F.sequence(F.lit(0), F.lit(horizon))))
+        .withColumn("probability", F.lit(1.0))
     )
+    return known.unionByName(beyond)

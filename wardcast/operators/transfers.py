@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardcast.config import ForecastConfig
+from wardcast.config import ForecastConfig, SiteCodes
 from wardcast.functions.dates import utc_to_local
 from wardcast.sources.tables import SourceTables
 
 
 def transfer_requests(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
-    """Completed requests with type labels and the direct-admission flag."""
+    """Completed requests with type labels and the direct-admission flag.
+
+    One row per request and intake encounter; equal intake rows are counted in
+    ``copies`` before they meet the request.
+    """
     codes = cfg.codes
     completed = (
         tables["request_detail"]
@@ -22,7 +26,8 @@ def transfer_requests(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
     intake = (
         tables["attachment"]
         .where(F.col("attachment_c") == codes.intake_attachment)
-        .select("comm_id", F.col("csn").alias("intake_csn"))
+        .groupBy("comm_id", F.col("csn").alias("intake_csn"))
+        .agg(F.count("*").alias("copies"))
     )
     direct = F.when(F.col("topic_c") == codes.direct_admit_topic, 1).otherwise(0)
     return (
@@ -41,6 +46,7 @@ def transfer_requests(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
             F.col("status_name").alias("request_status"),
             "intake_csn",
             direct.alias("direct_admit"),
+            F.coalesce("copies", F.lit(1)).alias("copies"),
         )
     )
 
@@ -70,81 +76,91 @@ def latest_status(history: DataFrame) -> DataFrame:
     )
 
 
-def destination_candidates(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
-    """Destinations of transfer requests that were accepted or left undecided."""
+def _progress(codes: SiteCodes) -> Column:
+    """Admitted or discharged before every other patient state."""
+    state = F.col("patient_stat_c")
+    return F.when(state.isin(*codes.admitted_or_discharged), 0).otherwise(state)
+
+
+def destination_admissions(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
+    """Best encounter attached to each destination; equal rows are counted.
+
+    Whether a destination qualifies for a request does not depend on the
+    encounter, so the choice among a destination's encounters can be made once
+    for all requests, before the requests are joined.
+    """
+    admissions = tables["encounter"].select(
+        F.col("csn").alias("destination_csn"), "admit_conf_c", "patient_stat_c"
+    )
+    best = W.partitionBy("destination_id").orderBy(
+        F.col("admit_conf_c").asc_nulls_first(),
+        _progress(cfg.codes).asc_nulls_first(),
+        F.col("destination_csn").desc_nulls_last(),
+    )
+    return (
+        tables["attachment"]
+        .groupBy(F.col("comm_id").alias("destination_id"), F.col("csn").alias("destination_csn"))
+        .agg(F.count("*").alias("copies"))
+        .join(admissions, "destination_csn", "left")
+        .withColumn("_rank", F.rank().over(best))
+        .where(F.col("_rank") == 1)
+        .drop("_rank")
+    )
+
+
+def transfer_destinations(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
+    """Best destination of each request among those accepted or left undecided.
+
+    Order: admission confirmation, admitted or discharged before other states,
+    newest status update, highest encounter id; missing values first when
+    ascending and last when descending. Ties are all kept, equal rows counted in
+    ``copies``.
+    """
     codes = cfg.codes
     targets = (
         tables["attachment"]
         .where(F.col("attachment_c") == codes.target_attachment)
         .select("comm_id", F.col("target_comm_id").alias("destination_id"), "reason_c")
     )
-    requests = (
-        tables["request"]
-        .where(F.col("origin_c") == codes.transfer_origin)
-        .select("comm_id")
-        .join(tables["request_detail"], "comm_id")
-        .join(targets, "comm_id")
-        .select(
-            F.col("comm_id").alias("request_id"),
-            "destination_id",
-            "reason_c",
-            F.col("status_c").alias("request_status_c"),
-            "region_id",
-        )
-    )
-    patients = tables["attachment"].select(
-        F.col("comm_id").alias("destination_id"), F.col("csn").alias("destination_csn")
-    )
     details = tables["request_detail"].select(
+        "comm_id", F.col("status_c").alias("request_status_c"), "region_id"
+    )
+    destination_details = tables["request_detail"].select(
         F.col("comm_id").alias("destination_id"), F.col("status_c").alias("destination_status_c")
     )
     history = latest_status(tables["status_history"]).select(
         F.col("comm_id").alias("destination_id"), "line", "update_utc_ts", "previous_status_c"
     )
-    admissions = tables["encounter"].select(
-        F.col("csn").alias("destination_csn"), "admit_conf_c", "patient_stat_c"
-    )
+    own = tables["request"].where(F.col("origin_c") == codes.transfer_origin).select("comm_id")
 
     cancelled = F.col("request_status_c") == codes.request_cancelled
     accepted = F.col("destination_status_c").isin(*codes.destination_accepted)
     was_accepted = F.col("previous_status_c").isin(*codes.destination_accepted)
     undecided = F.col("previous_status_c").isNull() & F.col("region_id").isNotNull()
-    return (
-        requests.join(details, "destination_id", "left")
-        .join(history, "destination_id", "left")
-        .where((~cancelled & accepted) | (cancelled & was_accepted) | undecided)
-        .join(patients, "destination_id", "left")
-        .join(admissions, "destination_csn", "left")
-        .join(tables["conf_status"], "admit_conf_c", "left")
-        .join(tables["patient_status"], "patient_stat_c", "left")
-        .withColumn("status_update_ts", utc_to_local(F.col("update_utc_ts"), cfg.time_zone))
-    )
-
-
-def transfer_destinations(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
-    """Best destination of each request, ties included.
-
-    Order: admission confirmation, admitted or discharged before other states,
-    newest status update, highest encounter id; missing values first when
-    ascending and last when descending.
-    """
-    state = F.col("patient_stat_c")
-    progress = F.when(state.isin(*cfg.codes.admitted_or_discharged), 0).otherwise(state)
-    best = W.partitionBy("request_id").orderBy(
+    best = W.partitionBy("comm_id").orderBy(
         F.col("admit_conf_c").asc_nulls_first(),
-        progress.asc_nulls_first(),
+        _progress(codes).asc_nulls_first(),
         F.col("update_utc_ts").desc_nulls_last(),
         F.col("destination_csn").desc_nulls_last(),
     )
     return (
-        destination_candidates(tables, cfg)
+        targets.join(details, "comm_id")
+        .join(destination_details, "destination_id", "left")
+        .join(history, "destination_id", "left")
+        .where((~cancelled & accepted) | (cancelled & was_accepted) | undecided)
+        .join(destination_admissions(tables, cfg), "destination_id", "left")
         .withColumn("_rank", F.rank().over(best))
         .where(F.col("_rank") == 1)
+        # Whether a request belongs to the transfer centre is the same for all its
+        # rows, so it is settled on the few that are left, already placed by request.
+        .join(own, "comm_id", "left_semi")
+        .join(tables["conf_status"], "admit_conf_c", "left")
+        .join(tables["patient_status"], "patient_stat_c", "left")
         .select(
-            "request_id",
+            F.col("comm_id").alias("request_id"),
             "destination_id",
             "line",
-            "status_update_ts",
+            utc_to_local(F.col("update_utc_ts"), cfg.time_zone).alias("status_update_ts"),
             F.coalesce("destination_csn", F.lit(-1)).alias("destination_csn"),
             "request_status_c",
             "destination_status_c",
@@ -154,14 +170,21 @@ def transfer_destinations(tables: SourceTables, cfg: ForecastConfig) -> DataFram
             "patient_stat_c",
             "admit_conf",
             "patient_stat",
+            F.coalesce("copies", F.lit(1)).alias("copies"),
         )
     )
 
 
 def transfer_admissions(requests: DataFrame, destinations: DataFrame) -> DataFrame:
     """Encounters reached by a request, by request type; equal rows are counted."""
+    reached = destinations.groupBy("request_id", F.col("destination_csn").alias("csn")).agg(
+        F.sum("copies").alias("destinations")
+    )
+    asked = requests.groupBy("request_id", "request_type", "transfer_type", "direct_admit").agg(
+        F.sum("copies").alias("requests")
+    )
     return (
-        requests.join(destinations.select("request_id", F.col("destination_csn").alias("csn")), "request_id")
+        asked.join(reached, "request_id")
         .groupBy("csn", "request_type", "transfer_type", "direct_admit")
-        .agg(F.count("*").alias("copies"))
+        .agg(F.sum(F.col("requests") * F.col("destinations")).alias("copies"))
     )

@@ -95,7 +95,7 @@ class Forecast:
     @cached_property
     def patient_status(self) -> DataFrame:
         contacts = obstetrics.prior_contacts(self.tables, self.cfg)
-        return self.stage("patient_status", obstetrics.patient_status(contacts))
+        return self.stage("patient_status", obstetrics.patient_status(contacts, self.cfg))
 
     @cached_property
     def deliveries(self) -> DataFrame:
@@ -272,7 +272,7 @@ class Forecast:
         """Occupancy by patients already in bed."""
         cfg = self.cfg
         chances = survival.conditional_occupancy(
-            self.current_tagged, self.service_curves, "service_group", "service_name", cfg.horizon, cfg.curve_days
+            self.current_tagged, self.service_curves, "service_name", cfg.horizon, cfg.curve_days
         )
         stayed = F.col("days_into_admission")
         return repeat_rows(chances).select(
