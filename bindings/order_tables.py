@@ -222,17 +222,18 @@ SOURCE_SQL: dict[str, str] = {
 }
 
 
-def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in BASE}
-
-
 def source_tables(spark: SparkSession, sf_dir: str) -> SourceTables:
     """Source tables over the test tables in ``sf_dir``. There is no calendar
     table, so the days are generated from the configured dates."""
-    base = base_tables(spark, sf_dir)
+    base: dict[str, DataFrame] = {}
+
+    def open_base(name: str) -> DataFrame:
+        if name not in base:
+            base[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return base[name]
 
     def open_table(name: str) -> DataFrame:
         text = SOURCE_SQL[name]
-        return spark.sql(text, **{n: df for n, df in base.items() if "{" + n + "}" in text})
+        return spark.sql(text, **{n: open_base(n) for n in BASE if "{" + n + "}" in text})
 
     return SourceTables(spark, open_table)
