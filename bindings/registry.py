@@ -335,7 +335,7 @@ def _all_predicted(suffix: str, columns: str) -> str:
 @query("q15_predicted_arrivals_dow", _all_predicted("dow", "dow AS dow_adjusted, expected"))
 def _(f):
     return arrivals.predict_arrivals_dow(
-        f.members.where("is_predicted"), "arrival_ts", TYPE_KEYS, f.calendar, f.cfg, weight="copies"
+        f.recent_members, "arrival_ts", TYPE_KEYS, f.calendar, f.cfg, weight="copies"
     )
 
 
@@ -355,7 +355,7 @@ def _(f):
     return spread.drop("expected")
 
 
-@query(
+@staged_query(
     "q17_spread_predicted",
     "SELECT cat_id, arr_day, post_arr_day, days_out, day_date, occupancy FROM other_spread",
 )

@@ -44,6 +44,17 @@ def test_census_dates_reach_the_scan(stored):
     assert "GreaterThanOrEqual(EFFECTIVE_TIME" in scan and "LessThan(EFFECTIVE_TIME" in scan
 
 
+def test_forecast_reads_only_the_part_of_the_profile_it_needs(spark, stored):
+    f = Forecast(stored, CONFIG, Tables(spark))
+
+    def scans(df):
+        return [line for line in plan(df).splitlines() if "FileScan" in line and "/profile]" in line]
+
+    assert any("GreaterThanOrEqual(admit_ts" in s and "LessThan(ed_departure_ts" in s for s in scans(f.predicted))
+    assert all("IsNotNull(disch_ts)" in s for s in scans(f.curves))
+    assert any("LessThan(admit_ts" in s for s in scans(f.current_tagged))
+
+
 def test_columns_are_pruned(stored):
     text = plan(transfers.latest_status(stored["status_history"]))
     assert "ReadSchema: struct<COMM_ID:bigint,LINE:int,REQUEST_STATUS_C:int,STATUS_UPDATE_UTC_DTTM" in text

@@ -23,6 +23,9 @@ def spread_occupancy(
     Each arrival group lists the days it can still be in bed, and the curve is
     then an equality lookup on type and day; without keys that is day alone.
     NULL keys match nothing. ``horizon`` may name a column of ``arrivals``.
+
+    Both sides generate their days, so neither has a measured size: the join is a
+    merge and never a broadcast.
     """
     limit = F.col(horizon) if isinstance(horizon, str) else F.lit(horizon)
     days_left = F.sequence(F.lit(0), limit - F.col("arr_day"))
@@ -30,7 +33,7 @@ def spread_occupancy(
     chance = curve.select(*keys, F.col("day_num").alias("post_arr_day"), "probability")
     day_num = F.col("arr_day") + F.col("post_arr_day")
     return (
-        listed.join(chance, [*keys, "post_arr_day"])
+        listed.join(chance.hint("merge"), [*keys, "post_arr_day"])
         .withColumn("days_out", day_num)
         .withColumn("day_date", forecast_date(cfg.as_of, day_num))
         .withColumn("occupancy", F.col("probability") * F.col("expected"))

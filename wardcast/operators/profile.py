@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardcast.config import ForecastConfig
-from wardcast.functions.dates import open_or_since
+from wardcast.functions.dates import open_or_since, within
 from wardcast.operators.obstetrics import NORMAL
 
 # Fixed values of the forecast table.
@@ -121,6 +121,16 @@ def _membership(
     )
 
 
+def recent_arrivals(profile: DataFrame, cfg: ForecastConfig) -> DataFrame:
+    """Encounters that any stream can count in the lookback window.
+
+    A superset chosen on stored columns, so that the scan skips older data.
+    """
+    admitted = within(F.col("admit_ts"), cfg.lookback_start, cfg.as_of)
+    left_ed = within(F.col("ed_departure_ts"), cfg.lookback_start, cfg.as_of)
+    return profile.where(admitted | left_ed)
+
+
 def memberships(profile: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """Cohort rows: one per encounter and patient type it belongs to.
 

@@ -75,6 +75,9 @@ def remaining_stay(
     stayed, ahead = F.col("days_into_admission"), F.col("days_out")
     so_far = curve.select(match, F.col("day_num").alias("days_into_admission"), F.col("probability").alias("_so_far"))
     later = curve.select(match, F.col("day_num").alias("_day"), F.col("probability").alias("_later"))
+    # Days are generated after the last shuffle whose size Spark has measured, so its
+    # estimate of a curve is too low to decide on a broadcast: always merge.
+    so_far, later = so_far.hint("merge"), later.hint("merge")
     days = F.explode(F.sequence(F.lit(0), F.least(F.lit(horizon), F.lit(curve_days) - stayed)))
     chance = F.when(F.col("_so_far") > 0, F.col("_later") / F.col("_so_far")).otherwise(F.lit(1.0))
     return (
@@ -100,7 +103,7 @@ def conditional_occupancy(
     on_curve = current.where(stayed <= curve_days)
     reached = on_curve.select(match, "days_into_admission").distinct()
     chances = remaining_stay(reached, curve, match, horizon, curve_days)
-    known = on_curve.join(chances, [match, "days_into_admission"])
+    known = on_curve.join(chances.hint("merge"), [match, "days_into_admission"])
     beyond = (
         current.where(stayed > curve_days)
         .withColumn("days_out", F.explode(F.sequence(F.lit(0), F.lit(horizon))))

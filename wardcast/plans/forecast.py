@@ -140,6 +140,12 @@ class Forecast:
     def members(self) -> DataFrame:
         return profile.memberships(self.profile, self.cfg)
 
+    @cached_property
+    def recent_members(self) -> DataFrame:
+        """Cohort rows of the predicted streams that the lookback window can count."""
+        recent = profile.recent_arrivals(self.profile, self.cfg)
+        return profile.memberships(recent, self.cfg).where("is_predicted")
+
     @cached_property
     def current(self) -> DataFrame:
         return encounters.current_inpatients(self.encounters, self.cfg)
@@ -150,7 +156,8 @@ class Forecast:
     def curves(self) -> DataFrame:
         """Survival curves of all patient types, each up to its own horizon."""
         keys = [*TYPE_KEYS, "horizon"]
-        rows = self.members.where("in_curve").select(*keys, "los", "copies")
+        discharged = self.profile.where(F.col("disch_ts").isNotNull())
+        rows = profile.memberships(discharged, self.cfg).where("in_curve").select(*keys, "los", "copies")
         if self.cfg.include_non_admitted:
             rows = rows.unionByName(self._never_admitted())
         return survival.survival_curve(rows, TYPE_KEYS, "horizon", weight="copies")
@@ -177,7 +184,8 @@ class Forecast:
 
     @cached_property
     def due(self) -> DataFrame:
-        return obstetrics.expected_due(self.patient_status, self.deliveries, self.current, self.cfg)
+        due = obstetrics.expected_due(self.patient_status, self.deliveries, self.current, self.cfg)
+        return self.stage("due", due)
 
     @cached_property
     def expected_deliveries(self) -> DataFrame:
@@ -228,7 +236,7 @@ class Forecast:
         """Arrivals predicted from the lookback window, in the common arrival layout."""
         keys = [*TYPE_KEYS, "horizon"]
         by_dow = arrivals.predict_arrivals_dow(
-            self.members.where("is_predicted"), "arrival_ts", keys, self.calendar, self.cfg, weight="copies"
+            self.recent_members, "arrival_ts", keys, self.calendar, self.cfg, weight="copies"
         )
         return arrivals.predict_arrivals_daily(by_dow, self.calendar, F.col("horizon")).select(
             *keys,
