@@ -28,6 +28,7 @@ from wardcast.plans.forecast import Forecast
 from wardcast.plans.staging import Lazy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+BUILDS: dict[str, Callable[[Forecast], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
@@ -36,6 +37,7 @@ def query(name: str, sql: str):
 
     def register(build: Callable[[Forecast], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: build(Forecast(source_tables(spark, sf_dir), CONFIG, Lazy()))
+        BUILDS[name] = build
         SQL[name] = statement(sql)
         return build
 
@@ -47,6 +49,7 @@ def staged_query(name: str, sql: str):
 
     def register(build: Callable[[Forecast], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: build(Forecast(source_tables(spark, sf_dir), CONFIG))
+        BUILDS[name] = build
         SQL[name] = statement(sql)
         return build
 

@@ -10,4 +10,6 @@ from check import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session()
+    spark = local_session()
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # the tables of the tests are tiny
+    return spark
