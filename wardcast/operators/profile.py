@@ -46,25 +46,26 @@ def encounter_profile(
     surgeries = first_surgeries.groupBy("csn").agg(
         F.collect_list(F.struct("primary_procedure", "surgical_location", "copies")).alias("surgeries")
     )
+    kind = F.struct("request_type", "transfer_type", "copies")
+    is_direct = F.col("direct_admit") == 1
     requests = transfers.groupBy("csn").agg(
-        F.collect_list(F.struct("request_type", "transfer_type", "direct_admit", "copies")).alias("transfers")
+        F.collect_list(F.when(is_direct, kind)).alias("direct_transfers"),
+        F.collect_list(F.when(~is_direct, kind)).alias("other_transfers"),
+        F.sum(F.when(~is_direct, F.col("copies"))).alias("forwarded"),
     )
 
     born = F.col("ob_status").isNotNull() | F.col("newborn_status").isNotNull()
     operated = ~born & F.col("surgeries").isNotNull()
-    transferred = ~born & ~operated & F.col("transfers").isNotNull()
-    forwarded = F.filter("transfers", lambda t: t["direct_admit"] == 0)
+    requested = F.col("direct_transfers").isNotNull()
+    transferred = ~born & ~operated & requested
     from_ed = (
         ~born
         & ~operated
         & F.col("ed_events").isNotNull()
-        & (F.col("transfers").isNull() | (F.size(forwarded) > 0))
+        & (~requested | F.col("forwarded").isNotNull())
     )
     # An encounter's emergency rows: its events, once per forwarding transfer if there are any.
-    ed_rows = F.col("ed_events") * F.when(
-        F.col("transfers").isNotNull(),
-        F.aggregate(forwarded, F.lit(0).cast("long"), lambda n, t: n + t["copies"]),
-    ).otherwise(F.lit(1))
+    ed_rows = F.col("ed_events") * F.coalesce("forwarded", F.lit(1))
     residual = ~born & ~operated & ~transferred & ~from_ed & open_or_since(F.col("disch_ts"), cfg.usable_start)
 
     return (
@@ -83,10 +84,11 @@ def encounter_profile(
             "newborn_copies",
             "mother_csn",
             F.when(operated, F.col("surgeries")).alias("surgeries"),
-            F.when(transferred, F.col("transfers")).alias("transfers"),
+            F.when(transferred, F.col("direct_transfers")).alias("direct_transfers"),
+            F.when(transferred, F.col("other_transfers")).alias("other_transfers"),
             F.when(from_ed, ed_rows).alias("ed_copies"),
             F.when(
-                from_ed, F.when(F.col("transfers").isNotNull(), ED_TRANSFER).otherwise(ED_NO_TRANSFER)
+                from_ed, F.when(requested, ED_TRANSFER).otherwise(ED_NO_TRANSFER)
             ).alias("ed_transfer"),
             F.when(from_ed, F.col("acuity_level")).alias("acuity_level"),
             residual.alias("is_other"),
@@ -148,52 +150,47 @@ def memberships(profile: DataFrame, cfg: ForecastConfig) -> DataFrame:
     ob, neo = F.col("ob_status"), F.col("newborn_status")
     short = cfg.horizon
 
-    def when_member(condition: Column, row: Column) -> Column:
-        return F.when(condition, F.array(row))
-
-    rows = [
-        when_member(
+    single = F.array(
+        F.when(
             ob.isNotNull(),
             _membership(
                 OB, na, ob, na, one, admit, in_history, ob == cfg.no_prenatal_status, cfg.horizon_long
             ),
         ),
-        when_member(
+        F.when(
             neo.isNotNull(),
             _membership(
                 NEWBORN, na, neo, F.col("department_name"), F.col("newborn_copies"), admit, in_history,
                 ~neo.isin(cfg.codes.high_risk_marker, NORMAL), short,
             ),
         ),
-        F.transform(
-            "surgeries",
-            lambda s: _membership(
-                SURGICAL, s["primary_procedure"], s["surgical_location"], na, s["copies"], admit,
-                discharged, no, short,
-            ),
-        ),
-        F.transform(
-            F.filter("transfers", lambda t: t["direct_admit"] == 1),
-            lambda t: _membership(
-                TRANSFER, na, t["request_type"], t["transfer_type"], t["copies"], admit,
-                discharged, yes, short,
-            ),
-        ),
-        when_member(
+        F.when(
             F.col("ed_copies").isNotNull(),
             _membership(
                 EMERGENCY, na, F.col("ed_transfer"), F.col("acuity_level"), F.col("ed_copies"),
                 F.col("ed_departure_ts"), discharged, yes, short,
             ),
         ),
-        when_member(
-            F.col("is_other"), _membership(OTHER, na, na, na, one, admit, discharged, yes, short)
+        F.when(F.col("is_other"), _membership(OTHER, na, na, na, one, admit, discharged, yes, short)),
+    )
+    surgeries = F.transform(
+        "surgeries",
+        lambda s: _membership(
+            SURGICAL, s["primary_procedure"], s["surgical_location"], na, s["copies"], admit, discharged, no, short
+        ),
+    )
+    transfers = F.transform(
+        "direct_transfers",
+        lambda t: _membership(
+            TRANSFER, na, t["request_type"], t["transfer_type"], t["copies"], admit, discharged, yes, short
         ),
-    ]
-    # Absent cohorts are NULL arrays; dropping them keeps one explode for all streams.
-    present = F.flatten(F.filter(F.array(*rows), lambda r: r.isNotNull()))
-    out = profile.select("csn", "los", "disch_ts", F.explode(present).alias("m")).select(
-        "csn", "los", "disch_ts", "m.*"
+    )
+    none = F.slice(single, 1, 0)
+    present = F.concat(single, F.coalesce(surgeries, none), F.coalesce(transfers, none))
+    out = (
+        profile.select("csn", "los", "disch_ts", F.explode(present).alias("m"))
+        .where(F.col("m").isNotNull())
+        .select("csn", "los", "disch_ts", "m.*")
     )
     return out.withColumn("copies", F.lit(1).cast("long")) if cfg.dedupe else out
 
@@ -205,7 +202,7 @@ def tag_source(profile: DataFrame, direct_only: bool, dedupe: bool = False) -> D
     that several rows of a cohort describe comes out once per distinct label set,
     with the number of equal rows in ``copies``.
     """
-    requests = F.filter("transfers", lambda t: t["direct_admit"] == 1) if direct_only else F.col("transfers")
+    requests = F.col("direct_transfers") if direct_only else F.concat("direct_transfers", "other_transfers")
     one = F.lit(1).cast("long")
     source = (
         F.when(F.col("ob_status").isNotNull(), OB)
@@ -256,7 +253,7 @@ def arrival_order(profile: DataFrame) -> DataFrame:
         F.when(F.col("ob_status").isNotNull(), OB)
         .when(F.col("newborn_status").isNotNull(), NEWBORN)
         .when(F.col("surgeries").isNotNull(), SURGICAL)
-        .when(F.col("transfers").isNotNull(), TRANSFER)
+        .when(F.col("direct_transfers").isNotNull(), TRANSFER)
         .when(F.col("ed_copies").isNotNull(), EMERGENCY)
         .when(F.col("is_other"), OTHER)
     )
