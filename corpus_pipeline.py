@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from wardcast.llm import decontamination, jaccard_join, packing, pii, quality_rules
 from wardcast.llm.queries import vocabulary
-from wardcast.llm.shared import Scratch, table
+from wardcast.llm.shared import Scratch, only, table
 
 
 def _with_text(row_and_text: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -30,7 +30,7 @@ def _with_text(row_and_text: DataFrame, columns: list[str], text: str) -> DataFr
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out failing lines; documents that the rules reject go."""
-    return _with_text(quality_rules.quality(docs).where("kept"), docs.columns, "cleaned")
+    return _with_text(only(quality_rules.quality(docs), F.col("kept")), docs.columns, "cleaned")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

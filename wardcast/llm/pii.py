@@ -155,7 +155,7 @@ def redact(found: DataFrame, chunk: int = 2048) -> DataFrame:
         F.when(F.col("found") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))).alias("chunks"),
     )
     df = df.select("*", F.transform("sorted", lambda s: s["b"]).alias("ends"))
-    df = df.select("*", running(F.col("ends"), F.greatest, F.lit(0).cast("bigint")).alias("reached"))
+    df = df.select("*", running(F.col("ends"), lambda a, b: F.greatest(a, b), F.lit(0).cast("bigint")).alias("reached"))
     # A span that starts at or after all ends so far opens a masked stretch.
     opens = F.filter(
         F.transform("sorted", lambda s, i: F.struct(s["a"].alias("a"), s["kind"].alias("kind"), F.get("reached", i).alias("from"))),

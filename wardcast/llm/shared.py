@@ -45,6 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def only(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition on columns that are costly to make. A plain filter would be
+    moved below the projections, where each such column is put in place of its name and made
+    again wherever it is used; what a generator puts out cannot be filtered below it."""
+    some = df.select(F.explode_outer(F.when(condition, F.array(F.struct("*")))).alias("one"))
+    return some.where("one is not null").select("one.*")
+
+
 def trimmed(text: Column) -> Column:
     """The text without separators at its ends; null counts as empty."""
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(SEPARATORS))
