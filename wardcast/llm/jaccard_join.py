@@ -30,8 +30,9 @@ from wardcast.llm.shared import Scratch
 #: Percentage of the union that two sets must share.
 LIKE = 75
 SHINGLE = 5
-#: Counters of the sketch, in so many parts when they are added up.
-CELLS, PARTS = 1 << 20, 64
+#: Counters of the sketch, in so many parts when they are added up. A task's own counters
+#: stop at 255, which keeps them small on their way and changes no more than the order.
+CELLS, PARTS = 1 << 23, 64
 #: A shingle whose counter is no higher is in so few prefixes that one task may hold them.
 LIGHT = 20_000
 #: Ids that may be broadcast (16 bytes each); more are joined.
@@ -45,36 +46,37 @@ def _prefix_length(n: int, like: int = LIKE) -> int:
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(44)).astype(np.int64)
+    return (hashes >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     """How often the shingles of each cell occur, every document counted once."""
 
     def count(batches: Iterator):
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(CELLS, np.int32)
         for batch in batches:
             for a, b, data, starts in word_hashes.slices(batch.column(1)):
                 found, begins, _ = word_hashes.shingles(data, starts, k)
                 once = [np.unique(found[begins[i] : begins[i + 1]]) for i in range(b - a)]
-                total += np.bincount(_cells(np.concatenate(once)), minlength=CELLS)
-        if total.any():
-            parts = [x.tobytes() for x in total.astype(np.uint32).reshape(PARTS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+                np.add.at(total, _cells(np.concatenate(once)), 1)
+        for i, part in enumerate(total.reshape(PARTS, -1)):
+            if part.any():
+                counts = np.minimum(part, 255).astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([counts], pa.binary())], names=["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, part = np.zeros(CELLS // PARTS, np.int64), None
+        total, part = np.zeros(CELLS // PARTS, np.int32), None
         for batch in batches:
             part = batch.column(0)[0].as_py()
             for x in batch.column(1):
-                total += np.frombuffer(x.as_py(), np.uint32)
+                total += np.frombuffer(x.as_py(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
 
     form = "part int, counts binary"
     parts = docs.mapInArrow(count, form).groupBy("part").applyInArrow(add, form)
-    out = np.zeros((PARTS, CELLS // PARTS), np.int64)
+    out = np.zeros((PARTS, CELLS // PARTS), np.int32)
     for r in parts.collect():  # the sketch: of one size, however many documents
-        out[r["part"]] = np.frombuffer(r["counts"], np.int64)
+        out[r["part"]] = np.frombuffer(r["counts"], np.int32)
     return out.reshape(-1)
 
 
@@ -90,15 +92,15 @@ PREFIXES = (
 
 def _prefixes(docs: DataFrame, order: np.ndarray, k: int, like: int) -> DataFrame:
     """Per document the size of its set, a digest of it, its group and its prefix in order."""
-    order = docs.sparkSession.sparkContext.broadcast(order.astype(np.int32))
+    order = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator):
         counts = order.value
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            rows = []
             for a, b, data, starts in word_hashes.slices(batch.column(1)):
                 found, begins, _ = word_hashes.shingles(data, starts, k)
+                rows = []
                 for i in range(b - a):
                     own = np.unique(found[begins[i] : begins[i + 1]])
                     n = len(own)
@@ -114,7 +116,7 @@ def _prefixes(docs: DataFrame, order: np.ndarray, k: int, like: int) -> DataFram
                     group = hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "big"), digest_size=8).digest()
                     grp = int.from_bytes(group, "big") >> (64 - _GROUP_BITS)
                     rows.append((keys[a + i], texts[a + i], n, set1, set2, grp, light, prefix))
-            yield _prefix_batch(rows)
+                yield _prefix_batch(rows)
 
     chosen = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     return chosen.mapInArrow(run, PREFIXES)
@@ -169,15 +171,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, like: int) -> DataFrame:
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator):
         for batch in batches:
-            parts, offsets = [], [0]
             for a, b, data, starts in word_hashes.slices(batch.column(1)):
                 found, begins, _ = word_hashes.shingles(data, starts, k)
-                for i in range(b - a):
-                    parts.append(_signed(np.unique(found[begins[i] : begins[i + 1]])))
-                    offsets.append(offsets[-1] + len(parts[-1]))
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["cid", "shingles"])
+                parts = [_signed(np.unique(found[begins[i] : begins[i + 1]])) for i in range(b - a)]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["cid", "shingles"])
 
     return docs.mapInArrow(run, "cid bigint, shingles array<bigint>")
 

@@ -70,7 +70,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str, str]] = TEMPLATES,
         for batch in batches:
             keys = batch.column(0).to_pylist()
             rows = []
-            for a, _, data, starts in word_hashes.slices(batch.column(1)):
+            for a, _, data, starts in word_hashes.slices(batch.column(1), 1 << 20):
                 for where, *rest in _find(data, starts, known, factors, bands):
                     rows.append((keys[a + where], *rest))
             yield pa.RecordBatch.from_arrays(
