@@ -20,7 +20,7 @@ BITS, BLOCKS = 64, 8
 #: At the threshold the angle of two count vectors is arccos(6/7): 11 of 64 bits differ on
 #: average, with a deviation of 3. Beyond 24 bits is more than four deviations.
 RADIUS = 24
-#: Rows of an index table that may be broadcast (some 40 bytes each); more are joined.
+#: Rows of an index table that may be broadcast (five numbers each); more are joined.
 MOST_BROADCAST = 500_000
 
 
@@ -92,8 +92,9 @@ def leaks(
     scratch = scratch or Scratch(docs.sparkSession)
     bench = items.select(F.col(item_id).alias("item_id"), _words(F.col(item_text)).alias("words"))
     # Written, so that the filters below see columns and do not repeat their making.
-    bench = scratch.save("items", bench.select("*", F.size("words").alias("n")))
-    bench = bench.where("n > 0").select("item_id", "n", F.least("n", F.lit(SHINGLE)).alias("k"), "words")
+    bench = bench.select("*", F.size("words").alias("n"), F.monotonically_increasing_id().alias("item"))
+    bench = scratch.save("items", bench)
+    bench = bench.where("n > 0").select("item_id", "item", "n", F.least("n", F.lit(SHINGLE)).alias("k"), "words")
     found = None
     for k in sorted(r["k"] for r in bench.select("k").distinct().collect()) or [SHINGLE]:  # five lengths at most
         part = _leaks(docs, bench.where(F.col("k") == k), doc_id, text, k, scratch)
@@ -105,19 +106,19 @@ def _in_blocks(df: DataFrame, *columns: str) -> DataFrame:
     """Each fingerprint once for each block, with its value. Never null, so nothing has to be
     filtered before a join."""
     each = [F.struct(F.lit(b).alias("block"), F.coalesce(block(F.col("print"), b), F.lit(0)).alias("value")) for b in range(BLOCKS)]
-    return df.select("*", F.explode(F.array(*each)).alias("b")).select(*columns, "print", "bag", "b.block", "b.value")
+    return df.select("*", F.explode(F.array(*each)).alias("b")).select(*columns, "print", "b.block", "b.value")
 
 
 def _leaks(docs: DataFrame, bench: DataFrame, doc_id: str, text: str, k: int, scratch: Scratch) -> DataFrame:
-    bench = bench.select("item_id", "n", _shingles(F.col("words"), F.col("n"), k).alias("hashes"))
+    bench = bench.select("item_id", "item", "n", _shingles(F.col("words"), F.col("n"), k).alias("hashes"))
     bench = bench.select("*", F.sort_array("hashes").alias("sorted"))
     items = scratch.save(
-        "prints", bench.select("item_id", "n", "hashes", simhash(F.col("hashes")).alias("print"), counted(F.col("sorted")).alias("bag"))
+        "prints", bench.select("item_id", "item", "n", "hashes", simhash(F.col("hashes")).alias("print"), counted(F.col("sorted")).alias("bag"))
     )
     # Where a shingle stands in an item for the first time, so a window can be laid.
     places = (
-        items.select("item_id", "n", F.posexplode("hashes").alias("at", "hash"))
-        .groupBy("item_id", "n", "hash")
+        items.select("item", "n", F.posexplode("hashes").alias("at", "hash"))
+        .groupBy("item", "n", "hash")
         .agg(F.min("at").alias("at"))
         .select("hash", "n", "at")
         .distinct()
@@ -142,9 +143,9 @@ def _leaks(docs: DataFrame, bench: DataFrame, doc_id: str, text: str, k: int, sc
     windows = windows.select("doc_id", "n", "first", "many", "print", counted(F.col("sorted")).alias("bag"))
 
     changes = F.explode(F.array(*[F.lit(x) for x in flips()])).alias("change")
-    near = _in_blocks(items, "item_id", "n").select("*", changes)
-    near = near.select("item_id", "n", "print", "bag", "block", F.col("value").bitwiseXOR(F.col("change")).alias("value"))
-    asked = _in_blocks(windows, "doc_id", "n", "first", "many")
+    near = _in_blocks(items, "item", "n").select("*", changes)
+    near = near.select("item", "n", "print", "block", F.col("value").bitwiseXOR(F.col("change")).alias("value"))
+    asked = _in_blocks(windows, "doc_id", "n", "first", "many", "bag")
     q, i = asked.alias("q"), sized(scratch.save("near", near)).alias("i")
     differ = lambda b: F.bit_count(block(F.col("q.print"), b).bitwiseXOR(block(F.col("i.print"), b)))
     # A pair that meets in several blocks is taken in the first of them.
@@ -152,13 +153,14 @@ def _leaks(docs: DataFrame, bench: DataFrame, doc_id: str, text: str, k: int, sc
     pairs = q.join(i, (F.col("q.n") == F.col("i.n")) & (F.col("q.block") == F.col("i.block")) & (F.col("q.value") == F.col("i.value"))).where(
         (F.bit_count(F.col("q.print").bitwiseXOR(F.col("i.print"))) <= RADIUS) & (earliest == F.col("q.block"))
     )
-    pairs = pairs.select(
-        "q.doc_id",
-        "i.item_id",
-        "q.first",
-        "q.many",
-        F.size(F.array_intersect("q.bag", "i.bag")).alias("both"),
-        (F.size("q.bag") + F.size("i.bag")).alias("sum"),
+    pairs = pairs.select("q.doc_id", "i.item", "q.first", "q.many", F.col("q.bag").alias("window_bag"))
+    pairs = pairs.join(items.select("item", "item_id", "bag"), "item").select(
+        "doc_id",
+        "item_id",
+        "first",
+        "many",
+        F.size(F.array_intersect("window_bag", "bag")).alias("both"),
+        (F.size("window_bag") + F.size("bag")).alias("sum"),
     )
     share = F.col("both") / (F.col("sum") - F.col("both"))
     best = F.max(

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +50,13 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Eight levels for every doubling of a count; in order, and a byte for any count."""
+    return np.minimum(8 * np.log2(counts + 1.0), 255).astype(np.uint8)
+
+
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """How often the shingles of each cell occur, every document counted once."""
+    """The level of how often the shingles of each cell occur, counted once for a document."""
 
     def count(batches: Iterator):
         total = np.zeros(CELLS, np.int32)
@@ -65,18 +71,19 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([counts], pa.binary())], names=["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums as levels, so that the sketch is a byte for each cell."""
         total, part = np.zeros(CELLS // PARTS, np.int32), None
         for batch in batches:
             part = batch.column(0)[0].as_py()
             for x in batch.column(1):
                 total += np.frombuffer(x.as_py(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_level(total).tobytes()], pa.binary())], names=["part", "counts"])
 
     form = "part int, counts binary"
     parts = docs.mapInArrow(count, form).groupBy("part").applyInArrow(add, form)
-    out = np.zeros((PARTS, CELLS // PARTS), np.int32)
+    out = np.zeros((PARTS, CELLS // PARTS), np.uint8)
     for r in parts.collect():  # the sketch: of one size, however many documents
-        out[r["part"]] = np.frombuffer(r["counts"], np.int32)
+        out[r["part"]] = np.frombuffer(r["counts"], np.uint8)
     return out.reshape(-1)
 
 
@@ -90,9 +97,9 @@ PREFIXES = (
 )
 
 
-def _prefixes(docs: DataFrame, order: np.ndarray, k: int, like: int) -> DataFrame:
+def _prefixes(docs: DataFrame, order: Broadcast, k: int, like: int) -> DataFrame:
     """Per document the size of its set, a digest of it, its group and its prefix in order."""
-    order = docs.sparkSession.sparkContext.broadcast(order)
+    most = int(_level(np.array([LIGHT]))[0])
 
     def run(batches: Iterator):
         counts = order.value
@@ -110,7 +117,7 @@ def _prefixes(docs: DataFrame, order: np.ndarray, k: int, like: int) -> DataFram
                         count = counts[_cells(own)]
                         p = _prefix_length(n, like)
                         first = np.lexsort((own, count))[:p]
-                        prefix, light = _signed(own[first]), int((count[first] <= LIGHT).sum())
+                        prefix, light = _signed(own[first]), int((count[first] <= most).sum())
                     else:
                         prefix, light = np.zeros(0, np.int64), 0
                     group = hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "big"), digest_size=8).digest()
@@ -202,8 +209,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     spark: SparkSession = docs.sparkSession
     scratch = scratch or Scratch(spark)
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    order = _sketch(docs.where("doc_id is not null"), k)
+    order = spark.sparkContext.broadcast(_sketch(docs.where("doc_id is not null"), k))  # CELLS bytes
     rows = scratch.save("prefixes", _prefixes(docs, order, k, like))
+    order.destroy()  # the prefixes are written
 
     sets = rows.where("n > 0 and doc_id is not null")
     members = scratch.save("members", sets.groupBy("grp", "n", "set1", "set2").agg(F.min("doc_id").alias("cid")))
