@@ -274,7 +274,7 @@ def _stream(f, pt_type):
     return f.members.where(F.col("Pt_Type") == pt_type)
 
 
-@query(
+@staged_query(
     "q10_survival_two_keys",
     "SELECT ed_transfer, acuity_level, day_num, denominator, numerator, probability FROM ed_curve",
 )
@@ -285,7 +285,7 @@ def _(f):
     return survival.survival_curve(stays, ["ed_transfer", "acuity_level"], f.cfg.horizon, weight="copies")
 
 
-@query("q11_survival_global", "SELECT day_num, denominator, numerator, probability FROM other_curve")
+@staged_query("q11_survival_global", "SELECT day_num, denominator, numerator, probability FROM other_curve")
 def _(f):
     return survival.survival_curve(_stream(f, OTHER).where("in_curve"), [], f.cfg.horizon, weight="copies")
 
@@ -304,7 +304,7 @@ _ALL_CURVES = " UNION ALL ".join(
 )
 
 
-@query("q11b_survival_all_streams", _ALL_CURVES)
+@staged_query("q11b_survival_all_streams", _ALL_CURVES)
 def _(f):
     return f.curves.drop("horizon")
 
@@ -335,14 +335,14 @@ def _all_predicted(suffix: str, columns: str) -> str:
     )
 
 
-@query("q15_predicted_arrivals_dow", _all_predicted("dow", "dow AS dow_adjusted, expected"))
+@staged_query("q15_predicted_arrivals_dow", _all_predicted("dow", "dow AS dow_adjusted, expected"))
 def _(f):
     return arrivals.predict_arrivals_dow(
         f.recent_members, "arrival_ts", TYPE_KEYS, f.calendar, f.cfg, weight="copies"
     )
 
 
-@query("q16_predicted_arrivals_daily", _all_predicted("daily", "arr_day, expected, cat_id"))
+@staged_query("q16_predicted_arrivals_daily", _all_predicted("daily", "arr_day, expected, cat_id"))
 def _(f):
     return f.predicted.drop("horizon", "prediction_status")
 
@@ -380,17 +380,17 @@ _TAG_COLUMNS = """csn, pat_id, service_group, service_name, pt_type AS "Pt_Type"
        primary_procedure AS "Primary_Procedure", sub_type, severity_level"""
 
 
-@query("q28_source_tags", f"SELECT {_TAG_COLUMNS} FROM tags")
+@staged_query("q28_source_tags", f"SELECT {_TAG_COLUMNS} FROM tags")
 def _(f):
     return repeat_rows(profile.tag_source(f.profile, direct_only=False)).drop("account_id", "admit_ts", "disch_ts")
 
 
-@query("q28b_source_tags_direct_only", f"SELECT {_TAG_COLUMNS} FROM tags_direct")
+@staged_query("q28b_source_tags_direct_only", f"SELECT {_TAG_COLUMNS} FROM tags_direct")
 def _(f):
     return repeat_rows(profile.tag_source(f.profile, direct_only=True)).drop("account_id", "admit_ts", "disch_ts")
 
 
-@query(
+@staged_query(
     "q29_exclusive_cohorts",
     """SELECT e.csn, e.admit_ts, e.disch_ts, e.los,
               CASE WHEN e.csn IN (SELECT csn FROM ob) THEN 'OB' WHEN e.csn IN (SELECT csn FROM neo) THEN 'Neonate'
@@ -403,7 +403,7 @@ def _(f):
     return profile.arrival_order(f.profile)
 
 
-@query(
+@staged_query(
     "q29b_cohort_rows",
     """SELECT csn, pt_type AS "Pt_Type", sub_type, severity_level, count(*) AS copies FROM (
            SELECT csn, 'OB' AS pt_type, ob_status AS sub_type, 'N/A' AS severity_level FROM ob
@@ -440,7 +440,7 @@ def _(f):
     return _current_days(f).where(F.col("days_into_admission") > f.cfg.curve_days)
 
 
-@query(
+@staged_query(
     "q32_midnight_census",
     """SELECT csn, census_date, days_into_admission, service_group, service_name, pt_type AS "Pt_Type",
               primary_procedure AS "Primary_Procedure", sub_type, severity_level, department_name, census_ts FROM hist""",

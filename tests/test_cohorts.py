@@ -442,6 +442,14 @@ def test_direct_admission_outranks_ed(spark):
     ]
 
 
+def test_dedupe_keeps_one_label_set(spark):
+    one = arrived(spark, "100002", **ed_tables((3, 1, None))).profile.where("csn = 1")
+    untyped = F.transform("direct_transfers", lambda t: t.withField("transfer_type", F.lit(None).cast("string")))
+    two = one.withColumn("direct_transfers", F.concat("direct_transfers", untyped))
+    assert profile.tag_source(two, direct_only=True).count() == 2
+    assert rows(profile.tag_source(two, direct_only=True, dedupe=True), "csn", "copies") == [(1, 1)]
+
+
 def test_forwarded_transfer_joins_ed_once_per_event(spark):
     f = arrived(spark, "100001", **ed_tables((1, 1, None), (2, 1, 1)))
     assert member_rows(f) == [(1, "ED", "ED-to-ED Transfer", "3: Urgent", 2), (2, "Other", "N/A", "N/A", 1)]

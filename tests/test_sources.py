@@ -1,8 +1,12 @@
+import os
+import subprocess
+import sys
 from datetime import date
 
 import pytest
 
 from tests.fixtures import CFG, encounter, frame, rows, sources
+from wardcast.functions.dates import utc_to_local
 from wardcast.plans import staging
 from wardcast.plans.forecast import OUTPUT_COLUMNS, Forecast
 from wardcast.plans.staging import Lazy, Tables
@@ -87,8 +91,64 @@ def test_shared_folder_comes_from_the_session():
     assert staging.shared_folder(Session("spark://host:7077", "hdfs://name/shared/")) == "hdfs://name/shared"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         staging.shared_folder(Session("yarn"))
-    local = Session("local[2]")
-    assert staging.shared_folder(local) == local.settings["spark.checkpoint.dir"]
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_folder(Session("local[2]"))
+    assert staging.shared_folder(Session("local[2]"), "/given/") == "/given"
+
+
+PLAIN = """
+import sys
+from pyspark.sql import SparkSession
+from tests.fixtures import CFG, encounter, sources
+from wardcast.plans.forecast import Forecast
+from wardcast.plans.staging import Tables
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+spark.conf.set("spark.sql.shuffle.partitions", "1")
+tables = sources(spark, encounter=[encounter(3, "c", "2021-05-02")])
+try:
+    Forecast(tables, CFG)
+except ValueError as error:
+    print("refused:", error)
+with Tables(spark, sys.argv[1]) as stage:
+    print("rows:", Forecast(tables, CFG, stage).profile.count())
+"""
+
+
+def test_plain_session_needs_a_folder_and_leaves_none(tmp_path):
+    (tmp_path / "conf").mkdir()
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path / "conf"), "PYTHONPATH": os.getcwd()}
+    (tmp_path / "stage").mkdir()
+    out = subprocess.run(
+        [sys.executable, "-c", PLAIN, str(tmp_path / "stage")], env=env, capture_output=True, text=True, timeout=300
+    )
+    assert "refused:" in out.stdout and "rows: 1" in out.stdout, out.stderr[-2000:]
+    assert not list((tmp_path / "stage").iterdir())
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Chicago", "America/New_York"])
+def test_utc_to_local_under_any_session_zone(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        want = ["2021-03-14 01:59:00", "2021-03-14 03:00:00", "2021-11-07 01:30:00", "2021-11-07 01:30:00", "2021-07-01 12:00:00"]
+        times = ["2021-03-14 07:59:00", "2021-03-14 08:00:00", "2021-11-07 06:30:00", "2021-11-07 07:30:00", "2021-07-01 17:00:00"]
+        for kind, suffix in (("timestamp", "Z"), ("timestamp_ntz", "")):
+            df = spark.createDataFrame([(t + suffix,) for t in times], "t string").selectExpr(f"CAST(t AS {kind}) AS t")
+            got = df.select(utc_to_local(df.t, "America/Chicago").cast("string").alias("x"))
+            assert [r.x for r in got.collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_sources_without_a_calendar(spark, tmp_path):
+    encounter_df = physical(sources(spark, encounter=[encounter(1, "a", "2021-04-26")])["encounter"], "encounter")
+    encounter_df.write.parquet(f"{tmp_path}/{SOURCES['encounter'].physical}.parquet")
+    for tables in (SourceTables.from_parquet(spark, str(tmp_path)), SourceTables.from_catalog(spark, "default")):
+        assert not tables.has("calendar")
+        days = Forecast(tables, CFG, Lazy()).days
+        assert days.agg({"day_date": "max"}).first()[0] == CFG.long_end
+    spark.range(1).write.parquet(f"{tmp_path}/{SOURCES['calendar'].physical}.parquet")
+    with pytest.raises(ValueError, match="lacks"):
+        SourceTables.from_parquet(spark, str(tmp_path)).has("calendar")
 
 
 def test_staged_and_lazy_agree(spark):

@@ -38,5 +38,13 @@ def open_or_since(when: Column, start: date) -> Column:
 
 
 def utc_to_local(when, zone: str) -> Column:
-    """Wall-clock time in ``zone`` of a UTC time, daylight saving included."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), when.cast("timestamp_ntz"))
+    """Wall-clock time in ``zone`` of a UTC time, daylight saving included.
+
+    A column without zone is taken to show UTC. A column of instants is counted from the
+    epoch, so the session's own zone has no part in it.
+    """
+    seconds = (F.unix_micros(when.cast("timestamp")).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    instant = epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    shown = F.when(F.typeof(when) == "timestamp", instant).otherwise(when.cast("timestamp_ntz"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), shown)

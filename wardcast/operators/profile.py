@@ -187,10 +187,8 @@ def memberships(profile: DataFrame, cfg: ForecastConfig) -> DataFrame:
     )
     none = F.slice(single, 1, 0)
     present = F.concat(single, F.coalesce(surgeries, none), F.coalesce(transfers, none))
-    out = (
-        profile.select("csn", "los", "disch_ts", F.explode(present).alias("m"))
-        .where(F.col("m").isNotNull())
-        .select("csn", "los", "disch_ts", "m.*")
+    out = profile.select("csn", "los", "disch_ts", F.explode(F.array_compact(present)).alias("m")).select(
+        "csn", "los", "disch_ts", "m.*"
     )
     return out.withColumn("copies", F.lit(1).cast("long")) if cfg.dedupe else out
 
@@ -200,10 +198,12 @@ def tag_source(profile: DataFrame, direct_only: bool, dedupe: bool = False) -> D
 
     With ``direct_only`` only direct admissions count as transfers. An encounter
     that several rows of a cohort describe comes out once per distinct label set,
-    with the number of equal rows in ``copies``.
+    with the number of equal rows in ``copies``; with ``dedupe`` it comes out once, with
+    the first of its label sets in the order of their values.
     """
     requests = F.col("direct_transfers") if direct_only else F.concat("direct_transfers", "other_transfers")
     one = F.lit(1).cast("long")
+    chosen = (lambda labels: F.slice(F.sort_array(labels), 1, 1)) if dedupe else (lambda labels: labels)
     source = (
         F.when(F.col("ob_status").isNotNull(), OB)
         .when(F.col("newborn_status").isNotNull(), NEWBORN)
@@ -220,8 +220,8 @@ def tag_source(profile: DataFrame, direct_only: bool, dedupe: bool = False) -> D
     )
     newborn_unit = F.when(F.col("newborn_status").isNotNull(), F.col("department_name"))
     return (
-        profile.withColumn("t", F.explode_outer(requests))
-        .withColumn("s", F.explode_outer("surgeries"))
+        profile.withColumn("t", F.explode_outer(chosen(requests)))
+        .withColumn("s", F.explode_outer(chosen(F.col("surgeries"))))
         .select(
             "csn",
             "pat_id",

@@ -7,26 +7,20 @@ size of the data for its later join choices.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """The given folder, else the one the session names in ``spark.checkpoint.dir``.
 
-    Only a local session may do without it and gets a temporary folder; on a
-    cluster a folder of one machine would be lost to the others.
+    There is no other choice: a folder of one machine would be lost to the others.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="wardcast-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("pass a folder that all executors share, or set spark.checkpoint.dir to one")
+    return folder.rstrip("/")
 
 
 class Lazy:
@@ -35,15 +29,32 @@ class Lazy:
     def __call__(self, name: str, df: DataFrame) -> DataFrame:
         return df
 
+    def close(self) -> None:
+        pass
+
 
 class Tables:
-    """Stages a result as Parquet in the shared folder and reads it back."""
+    """Stages a result as Parquet in the shared folder and reads it back.
+
+    Everything is in a folder of the run's own. ``close``, or leaving a ``with`` block,
+    removes it; results that read staged tables must be stored by then.
+    """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, folder: str | None = None):
         self._spark = spark
-        self._root = f"{shared_folder(spark)}/wardcast-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark, folder)}/wardcast-{uuid.uuid4().hex}"
 
     def __call__(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self._root}/{name}"
+        path = f"{self.root}/{name}"
         df.write.parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()

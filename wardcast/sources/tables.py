@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardcast.sources.layout import SOURCES
 
+#: What Spark says of files and names that are not there.
+_ABSENT = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND")
+
 
 class SourceTables:
     """The source tables of one run, opened on first use.
@@ -32,11 +36,15 @@ class SourceTables:
         return self._opened[name]
 
     def has(self, name: str) -> bool:
-        """Whether the opener knows the table at all (it raises KeyError if not)."""
+        """Whether there is such a table; one that is there but cannot be read still raises."""
         try:
             self[name]
         except KeyError:
             return False
+        except AnalysisException as error:
+            if error.getCondition() in _ABSENT:
+                return False
+            raise
         return True
 
     @classmethod
