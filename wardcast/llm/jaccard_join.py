@@ -217,8 +217,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     members = scratch.save("members", sets.groupBy("grp", "n", "set1", "set2").agg(F.min("doc_id").alias("cid")))
 
     # Where the groups meet: in each shingle of the prefixes, all of them and the earliest.
-    at = sets.select("grp", "light", F.posexplode("prefix").alias("place", "token")).select(
+    at = sets.select("grp", "n", "light", F.posexplode("prefix").alias("place", "token")).select(
         "token",
+        "n",
         (F.col("place") < F.col("light")).alias("light"),
         F.shiftleft(F.least("place", F.lit((1 << 20) - 1)).cast("bigint"), _GROUP_BITS).bitwiseOR(F.col("grp")).alias("spot"),
     )
@@ -226,12 +227,15 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     place_of = lambda spot: F.shiftright(F.col(spot), _GROUP_BITS)
     here = Window.partitionBy("token")
     light = at.where("light").select(
-        "token", "spot", F.min("spot").over(here).alias("lead"), F.min(group_of("spot")).over(here).alias("low"), F.max(group_of("spot")).over(here).alias("high")
-    ).where("low != high").select("token", "spot", "lead")
+        "token", "n", "spot", F.min("spot").over(here).alias("lead"), F.min(group_of("spot")).over(here).alias("low"), F.max(group_of("spot")).over(here).alias("high")
+    ).where("low != high").select("token", "n", "spot", "lead")
     heavy = at.where("not light")
     leads = heavy.groupBy("token").agg(F.min("spot").alias("lead"), F.min(group_of("spot")).alias("low"), F.max(group_of("spot")).alias("high"))
-    heavy = heavy.join(leads.where("low != high").select("token", "lead"), "token").select("token", "spot", "lead")
-    meet = light.union(heavy).select(
+    heavy = heavy.join(leads.where("low != high").select("token", "lead"), "token").select("token", "n", "spot", "lead")
+    # Nobody stands earlier than the lead; a set that stands too late to be alike with any set
+    # at the lead's place, of whatever size, has no link by this shingle.
+    in_time = 100 * place_of("spot") + like * place_of("lead") <= (100 - like) * F.col("n")
+    meet = light.union(heavy).where(in_time).select(
         "token", group_of("spot").alias("grp"), place_of("spot").alias("place"), group_of("lead").alias("lead"), place_of("lead").alias("lead_place")
     )
     meet = scratch.save("meet", meet)
