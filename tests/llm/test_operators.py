@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -167,6 +168,16 @@ def test_join_of_many_near_copies(spark, scratch, monkeypatch):
     assert 6 < len(set(want.values())) < len(made)
 
 
+def test_parity_bits_never_differ_more_than_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 40, 900, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: n * 9 // 10], rng.integers(0, 1 << 63, n // 8 + 1, dtype=np.uint64)]))
+        bits = np.bitwise_xor(jaccard_join._parity(x), jaccard_join._parity(y))
+        differ = sum(int(b).bit_count() for b in bits.view(np.uint64))
+        assert differ <= len(np.setxor1d(x, y))
+
+
 def test_join_of_nulls_and_repeats(spark, scratch):
     rows = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a b c"), (None, None)], "doc_id bigint, text string")
     got = Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.join(rows, scratch=scratch).collect())

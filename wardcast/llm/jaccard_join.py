@@ -2,7 +2,8 @@
 
 Exact at every size: equal sets become one, sets with the same prefix and size one group, and
 a pair of sets is only left unverified if it cannot reach the threshold or if other links
-already join the two.
+already join the two. Before whole sets are sent, the parity bits of the two must be near
+enough: as many bits as differ, so many shingles at least are in one of them only.
 
 1. A sketch counts all shingles; it gives the order in which shingles stand in a prefix,
    rare ones first. Any order is right, this one keeps frequent shingles out of prefixes.
@@ -36,6 +37,8 @@ SHINGLE = 5
 CELLS, PARTS = 1 << 23, 64
 #: A shingle whose counter is no higher is in so few prefixes that one task may hold them.
 LIGHT = 20_000
+#: Parity bits of a set: how many of its shingles fall on each bit, odd or even.
+BITS = 1024
 #: Ids that may be broadcast (16 bytes each); more are joined.
 MOST_BROADCAST = 1_000_000
 
@@ -93,12 +96,13 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 #: ``light``: so many shingles at the head of the prefix are light.
 PREFIXES = (
-    "doc_id bigint, text_key bigint, n bigint, set1 bigint, set2 bigint, grp bigint, light bigint, prefix array<bigint>"
+    "doc_id bigint, text_key bigint, n bigint, set1 bigint, set2 bigint, grp bigint, light bigint, "
+    "prefix array<bigint>, bits array<bigint>"
 )
 
 
 def _prefixes(docs: DataFrame, order: Broadcast, k: int, like: int) -> DataFrame:
-    """Per document the size of its set, a digest of it, its group and its prefix in order."""
+    """Per document the size of its set, a digest of it, its group, its prefix in order, its bits."""
     most = int(_level(np.array([LIGHT]))[0])
 
     def run(batches: Iterator):
@@ -122,21 +126,30 @@ def _prefixes(docs: DataFrame, order: Broadcast, k: int, like: int) -> DataFrame
                         prefix, light = np.zeros(0, np.int64), 0
                     group = hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "big"), digest_size=8).digest()
                     grp = int.from_bytes(group, "big") >> (64 - _GROUP_BITS)
-                    rows.append((keys[a + i], texts[a + i], n, set1, set2, grp, light, prefix))
+                    rows.append((keys[a + i], texts[a + i], n, set1, set2, grp, light, prefix, _parity(own)))
                 yield _prefix_batch(rows)
 
     chosen = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     return chosen.mapInArrow(run, PREFIXES)
 
 
+def _parity(own: np.ndarray) -> np.ndarray:
+    odd = np.bincount((own & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(x) for x in parts], out=offsets[1:])
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
 def _prefix_batch(rows: list):
     plain = list(zip(*[r[:7] for r in rows], strict=True)) if rows else [()] * 7
-    offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r[7]) for r in rows], out=offsets[1:])
-    flat = np.concatenate([r[7] for r in rows]) if rows else np.zeros(0, np.int64)
     return pa.RecordBatch.from_arrays(
-        [*[pa.array(c, pa.int64()) for c in plain], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-        names=["doc_id", "text_key", "n", "set1", "set2", "grp", "light", "prefix"],
+        [*[pa.array(c, pa.int64()) for c in plain], _lists([r[7] for r in rows]), _lists([r[8] for r in rows])],
+        names=["doc_id", "text_key", "n", "set1", "set2", "grp", "light", "prefix", "bits"],
     )
 
 
@@ -161,6 +174,16 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _near(pairs: DataFrame, members: DataFrame, like: int) -> DataFrame:
+    """The pairs (a, b) that differ in no more parity bits than alike sets can."""
+    x = members.select(F.col("cid").alias("a"), F.col("n").alias("xn"), F.col("bits").alias("x"))
+    y = members.select(F.col("cid").alias("b"), F.col("n").alias("yn"), F.col("bits").alias("y"))
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    # Of the sum of both sizes, alike sets have (100 - like) / (100 + like) in one of them only.
+    bound = (100 + like) * differ <= (100 - like) * (F.col("xn") + F.col("yn"))
+    return pairs.join(x, "a").join(y, "b").where(bound).select("a", "b").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, like: int) -> DataFrame:
     """The pairs (a, b) whose sets are alike."""
     x = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
@@ -181,9 +204,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             for a, b, data, starts in word_hashes.slices(batch.column(1)):
                 found, begins, _ = word_hashes.shingles(data, starts, k)
                 parts = [_signed(np.unique(found[begins[i] : begins[i + 1]])) for i in range(b - a)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["cid", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(parts)], names=["cid", "shingles"])
 
     return docs.mapInArrow(run, "cid bigint, shingles array<bigint>")
 
@@ -193,6 +214,17 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
+def _linked(scratch: Scratch, name: str, pairs: DataFrame, members: DataFrame, docs: DataFrame, repeated: bool, k: int, like: int) -> DataFrame:
+    """The pairs that are links. Only texts of pairs that are near enough are read again."""
+    near = scratch.save(f"{name}_near", _near(pairs, members, like))
+    wanted = _small(scratch.save(f"{name}_ids", near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()))
+    texts = docs.join(wanted, F.col("doc_id") == F.col("cid")).select("cid", "text", F.xxhash64("text").alias("text_key"))
+    # One id may stand for several texts: only the one that is its set.
+    texts = texts.dropDuplicates(["cid", "text_key"]) if repeated else texts
+    shingles = scratch.save(f"{name}_sets", _sets(texts.select("cid", "text"), k))
+    return scratch.save(f"{name}_links", _verified(near, shingles, like))
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, like: int = LIKE, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id) for each row of ``docs``.
 
@@ -214,7 +246,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     order.destroy()  # the prefixes are written
 
     sets = rows.where("n > 0 and doc_id is not null")
-    members = scratch.save("members", sets.groupBy("grp", "n", "set1", "set2").agg(F.min("doc_id").alias("cid")))
+    members = scratch.save("members", sets.groupBy("grp", "n", "set1", "set2").agg(F.min("doc_id").alias("cid"), F.first("bits").alias("bits")))
 
     # Where the groups meet: in each shingle of the prefixes, all of them and the earliest.
     at = sets.select("grp", "n", "light", F.posexplode("prefix").alias("place", "token")).select(
@@ -250,23 +282,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     if not mixed:
         spread = spread.where(_enough(F.col("n"), F.col("place"), F.col("lead_n"), F.col("lead_place"), like))
     stars = spread.select("a", "b")
-    inner = members.join(heads.where("many > 1").select("grp", F.col("head").alias("a")), "grp").select("a", F.col("cid").alias("b"))
+    inner = members.drop("bits").join(heads.where("many > 1").select("grp", F.col("head").alias("a")), "grp").select("a", F.col("cid").alias("b"))
     ordered = lambda df: df.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = scratch.save("stars", ordered(stars.union(inner)))
 
-    # The shingles of all sets that meet another one; the texts are read once more for them.
-    groups = meet.select("grp").distinct().union(heads.where("many > 1").select("grp")).distinct()
-    wanted = members.join(groups, "grp", "left_semi").select("cid").distinct()
-    wanted = _small(scratch.save("wanted", wanted))
-    texts = docs.join(wanted, F.col("doc_id") == F.col("cid")).select("cid", "text", F.xxhash64("text").alias("text_key"))
-    # One id may stand for several texts: only the one that is its set.
-    texts = texts.dropDuplicates(["cid", "text_key"]) if _repeated(rows) else texts
-    shingles = scratch.save("sets", _sets(texts.select("cid", "text"), k))
-    links = scratch.save("links", _verified(pairs, shingles, like))
+    repeated = _repeated(rows)
+    links = _linked(scratch, "star", pairs, members, docs, repeated, k, like)
     roots = components(scratch, links)
 
     # What is left: groups of one component and size that meet others in a shingle.
-    known = members.join(roots.select(F.col("v").alias("cid"), "root"), "cid", "left").select(
+    known = members.drop("bits").join(roots.select(F.col("v").alias("cid"), "root"), "cid", "left").select(
         "grp", "n", "cid", F.coalesce("root", "cid").alias("root")
     )
     known = scratch.save("known", known)
@@ -294,7 +319,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
         & _enough(F.col("xn"), F.col("xp"), F.col("yn"), F.col("yp"), like),
     )
     rest = scratch.save("rest", ordered(expanded.select("a", "b")).join(pairs, ["a", "b"], "left_anti"))
-    found = scratch.save("more_links", _verified(rest, shingles, like))
+    found = _linked(scratch, "rest", rest, members, docs, repeated, k, like)
     if found.limit(1).count():
         roots = components(scratch, links.union(found))
 
