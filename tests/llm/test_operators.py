@@ -206,6 +206,34 @@ def test_leaks_against_all_windows(spark, scratch):
     assert decontamination.leaks(docs.limit(0), bench, scratch=scratch).count() == 0
 
 
+def test_leaks_with_parts_reordered(spark, scratch):
+    """Best windows of all, of passages with halves swapped, at all places in the text."""
+    r = random.Random(7)
+    items = {0: prose(r, 40), 1: prose(r, 40), 2: prose(r, 59), 3: prose(r, 16)}
+    made = {}
+    for i, body in items.items():
+        words = body.split()
+        n = len(words)
+        swapped = words[n // 2 :] + words[: n // 2]
+        for before, after in ((50, 50), (0, 50), (50, 0), (n - 1, 3), (n, n), (7, 0)):
+            made[len(made)] = " ".join([*prose(r, before).split(), *swapped, *prose(r, after).split()])
+        made[len(made)] = " ".join([*prose(r, 30).split(), *words[: n // 2], "x", "y", *words[n // 2 :], *swapped[1:], *prose(r, 9).split()])
+    docs = spark.createDataFrame(list(made.items()), "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["similarity"], x["first_word"], x["words"]) for x in decontamination.leaks(docs, bench, scratch=scratch).collect()}
+    want = {}
+    for i, t in made.items():
+        words = t.split()
+        for key, body in items.items():
+            item = body.split()
+            n = len(item)
+            spans = {(max(0, s), min(len(words), s + n)) for s in range(1 - n, len(words))}
+            like, first, many = max((brute.similarity(words[a:b], item), -a, b - a) for a, b in spans)
+            if like >= 0.75:
+                want[i, key] = (pytest.approx(like), -first, many)
+    assert len(want) >= 21 and got == want
+
+
 def test_blocks_find_all_within_the_radius():
     r = random.Random(8)
     width, allowed = decontamination.BITS // decontamination.BLOCKS, set(decontamination.flips())

@@ -1,8 +1,9 @@
 """Benchmark passages in documents, in DataFrame operations only.
 
-Windows as long as a benchmark item are laid over a document wherever one of the item's
-shingles stands; their SimHash is looked up in a multi-index of Hamming blocks, which finds
-every item within the radius, and the exact weighted similarity decides.
+Windows as long as a benchmark item are laid over a document from each word on; those with
+enough shingles of items of that length, wherever these stand in them, can be alike. Their
+SimHash is looked up in a multi-index of Hamming blocks, which finds every item within the
+radius, and the exact weighted similarity decides.
 """
 
 from __future__ import annotations
@@ -115,30 +116,58 @@ def _leaks(docs: DataFrame, bench: DataFrame, doc_id: str, text: str, k: int, sc
     items = scratch.save(
         "prints", bench.select("item_id", "item", "n", "hashes", simhash(F.col("hashes")).alias("print"), counted(F.col("sorted")).alias("bag"))
     )
-    # Where a shingle stands in an item for the first time, so a window can be laid.
-    places = (
-        items.select("item", "n", F.posexplode("hashes").alias("at", "hash"))
-        .groupBy("item", "n", "hash")
-        .agg(F.min("at").alias("at"))
-        .select("hash", "n", "at")
-        .distinct()
-    )
+    places = items.select("n", F.explode("hashes").alias("hash")).distinct()
     places = sized(scratch.save("places", places))
     body = docs.select(F.col(doc_id).alias("doc_id"), _words(F.col(text)).alias("words"))
     body = body.select("*", F.size("words").alias("size"))
     # The outer form keeps the words from being made a second time to see that there are some.
     spots = body.select("*", F.explode_outer(F.when(F.col("size") >= k, F.expr(f"sequence(0, size - {k})"))).alias("spot"))
     spots = spots.select("*", F.xxhash64(*[F.get("words", F.col("spot") + j) for j in range(k)]).alias("hash"))
-    first = F.greatest(F.col("spot") - F.col("at"), F.lit(0))
-    last = F.least(F.col("spot") - F.col("at") + F.col("n"), F.col("size"))
-    windows = (
+    # A stretch has 2n words from a multiple of n on and holds the windows that start in its
+    # first half, the first one also those cut by the start of the text. The windows over a
+    # shingle start in two halves at most.
+    half = lambda start: F.floor(F.greatest(start, F.lit(0)) / F.col("n")).cast("int")
+    halves = F.array_distinct(F.array(half(F.col("spot") - F.col("n") + k), half(F.col("spot"))))
+    stretches = (
         spots.join(places, "hash")
         .where("spot is not null")
-        .select("doc_id", "n", first.alias("first"), (last - first).alias("many"), F.slice("words", first + 1, last - first).alias("words"))
-        .groupBy("doc_id", "n", "first", "words")
-        .agg(F.max("many").alias("many"))
+        .select("doc_id", "n", "size", "words", "spot", F.explode(halves).alias("half"))
+        .select("doc_id", "n", "spot", "size", "words", (F.col("half") * F.col("n")).alias("from"))
+        .select(
+            "doc_id",
+            "n",
+            "from",
+            (F.col("spot") - F.col("from")).alias("spot"),
+            F.least(F.col("size") - F.col("from"), 2 * F.col("n")).alias("reach"),
+            F.slice("words", F.col("from") + 1, 2 * F.col("n")).alias("words"),
+        )
+        .groupBy("doc_id", "n", "from", "reach", "words")
+        .agg(F.collect_set("spot").alias("spots"))
+    )
+    stretches = stretches.select("*", _shingles(F.col("words"), F.col("reach"), k).alias("hashes"))
+    # At 75 percent that many shingles of the window stand in the item, so in some item as long.
+    enough = lambda both, many: (100 + LIKE) * both >= LIKE * (many - k + 1 + F.col("n") - k + 1)
+
+    def window(start: Column) -> Column:
+        first = F.greatest(start, F.lit(0))
+        return F.struct(first.alias("first"), (F.least(start + F.col("n"), F.col("reach")) - first).alias("many"))
+
+    def likely(w: Column) -> Column:
+        inside = F.filter("spots", lambda x: (x >= w["first"]) & (x <= w["first"] + w["many"] - k))
+        return (w["many"] >= k) & enough(F.size(inside), w["many"])
+
+    starts = F.sequence(F.when(F.col("from") == 0, 1 - F.col("n")).otherwise(F.lit(0)), F.least(F.col("n"), F.col("reach")) - 1)
+    # A stretch with too few shingles for the shortest window that could be alike has none.
+    rich = 100 * F.size("spots") >= LIKE * (F.col("n") - k + 1)
+    laid = F.when(rich, F.filter(F.transform(starts, window), likely))
+    windows = stretches.select("doc_id", "n", "from", "hashes", F.explode_outer(laid).alias("w")).where("w is not null")
+    windows = windows.select(
+        "doc_id",
+        "n",
+        (F.col("from") + F.col("w.first")).alias("first"),
+        F.col("w.many").alias("many"),
+        F.slice("hashes", F.col("w.first") + 1, F.col("w.many") - k + 1).alias("hashes"),
     )
-    windows = windows.select("doc_id", "n", "first", "many", _shingles(F.col("words"), F.col("many"), k).alias("hashes"))
     windows = windows.select("*", simhash(F.col("hashes")).alias("print"), F.sort_array("hashes").alias("sorted"))
     windows = windows.select("doc_id", "n", "first", "many", "print", counted(F.col("sorted")).alias("bag"))
 
