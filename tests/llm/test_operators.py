@@ -220,18 +220,28 @@ def test_leaks_with_parts_reordered(spark, scratch):
         made[len(made)] = " ".join([*prose(r, 30).split(), *words[: n // 2], "x", "y", *words[n // 2 :], *swapped[1:], *prose(r, 9).split()])
     docs = spark.createDataFrame(list(made.items()), "doc_id bigint, text string")
     bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
-    got = {(x["doc_id"], x["item_id"]): (x["similarity"], x["first_word"], x["words"]) for x in decontamination.leaks(docs, bench, scratch=scratch).collect()}
+    got = {(x["doc_id"], x["item_id"]): x for x in decontamination.leaks(docs, bench, scratch=scratch).collect()}
     want = {}
     for i, t in made.items():
         words = t.split()
         for key, body in items.items():
-            item = body.split()
-            n = len(item)
-            spans = {(max(0, s), min(len(words), s + n)) for s in range(1 - n, len(words))}
-            like, first, many = max((brute.similarity(words[a:b], item), -a, b - a) for a, b in spans)
-            if like >= 0.75:
-                want[i, key] = (pytest.approx(like), -first, many)
-    assert len(want) >= 21 and got == want
+            n = len(item := body.split())
+            windows = (words[max(0, s) : s + n] for s in range(1 - n, len(words)))
+            if (best := max(brute.similarity(w, item) for w in windows)) >= 0.75:
+                want[i, key] = pytest.approx(best)
+    assert len(want) >= 21 and {k: x["similarity"] for k, x in got.items()} == want
+    for (i, key), x in got.items():
+        assert brute.similarity(made[i].split()[x["first_word"] :][: x["words"]], items[key].split()) == want[i, key]
+
+
+def test_leaks_with_a_run_of_one_word(spark, scratch):
+    """A repeated shingle does not outweigh the ones that are shared."""
+    r = random.Random(13)
+    shared = [prose(r, 200) for _ in range(4)]
+    docs = spark.createDataFrame([(i, f"{prose(r, 40)} {s} {prose(r, 40)}") for i, s in enumerate(shared)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, s + " _" * 32) for i, s in enumerate(shared)], "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"], x["first_word"]) for x in decontamination.leaks(docs, bench, scratch=scratch).collect()}
+    assert {(i, j) for i, j, _ in got} == {(i, i) for i in range(4)}
 
 
 def test_blocks_find_all_within_the_radius():

@@ -18,8 +18,8 @@ SHINGLE = 5
 #: shingle, of the sum of the larger ones.
 LIKE = 75
 BITS, BLOCKS = 64, 8
-#: At the threshold the angle of two count vectors is arccos(6/7): 11 of 64 bits differ on
-#: average, with a deviation of 3. Beyond 24 bits is more than four deviations.
+#: At the threshold the angle of two sets of numbered shingles is arccos(6/7) at most: 11 of 64
+#: bits differ on average, with a deviation of 3. Beyond 24 bits is more than four deviations.
 RADIUS = 24
 #: Rows of an index table that may be broadcast (five numbers each); more are joined.
 MOST_BROADCAST = 500_000
@@ -45,7 +45,8 @@ def counted(hashes: Column) -> Column:
 
 
 def simhash(hashes: Column) -> Column:
-    """64 bits; each is the sign of the sum over all shingles, a repeated one counted each time."""
+    """64 bits; each is the sign of the sum over all hashes. These must differ, as those of
+    :func:`counted` do: one that is repeated would outweigh the others."""
     total = lambda b: F.aggregate(hashes, F.lit(0), lambda a, h: a + F.getbit(h, b).cast("int") * 2 - 1)
     return F.aggregate(
         F.sequence(F.lit(0), F.lit(BITS - 1)),
@@ -81,7 +82,8 @@ def leaks(
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """(doc_id, item_id, first_word, words, similarity) for each item found in a document,
-    with the best window, the first of equals. Words are counted from 0.
+    with the best window; of equals the first one in which a shingle of an item of that length
+    stands at its place, else the first one. Words are counted from 0.
 
     Texts are compared in lower case, by words between white space. Windows have as many
     words as the item, cut at the ends of the document. An item of fewer than five words is
@@ -113,10 +115,16 @@ def _in_blocks(df: DataFrame, *columns: str) -> DataFrame:
 def _leaks(docs: DataFrame, bench: DataFrame, doc_id: str, text: str, k: int, scratch: Scratch) -> DataFrame:
     bench = bench.select("item_id", "item", "n", _shingles(F.col("words"), F.col("n"), k).alias("hashes"))
     bench = bench.select("*", F.sort_array("hashes").alias("sorted"))
-    items = scratch.save(
-        "prints", bench.select("item_id", "item", "n", "hashes", simhash(F.col("hashes")).alias("print"), counted(F.col("sorted")).alias("bag"))
+    bench = bench.select("item_id", "item", "n", "hashes", counted(F.col("sorted")).alias("bag"))
+    items = scratch.save("prints", bench.select("*", simhash(F.col("bag")).alias("print")))
+    # Shingles of the items of one length, with the places where they stand first in an item.
+    places = (
+        items.select("item", "n", F.posexplode("hashes").alias("at", "hash"))
+        .groupBy("item", "n", "hash")
+        .agg(F.min("at").alias("at"))
+        .groupBy("hash", "n")
+        .agg(F.collect_set("at").alias("at"))
     )
-    places = items.select("n", F.explode("hashes").alias("hash")).distinct()
     places = sized(scratch.save("places", places))
     body = docs.select(F.col(doc_id).alias("doc_id"), _words(F.col(text)).alias("words"))
     body = body.select("*", F.size("words").alias("size"))
@@ -131,13 +139,13 @@ def _leaks(docs: DataFrame, bench: DataFrame, doc_id: str, text: str, k: int, sc
     stretches = (
         spots.join(places, "hash")
         .where("spot is not null")
-        .select("doc_id", "n", "size", "words", "spot", F.explode(halves).alias("half"))
-        .select("doc_id", "n", "spot", "size", "words", (F.col("half") * F.col("n")).alias("from"))
+        .select("doc_id", "n", "size", "words", "spot", "at", F.explode(halves).alias("half"))
+        .select("doc_id", "n", "spot", "at", "size", "words", (F.col("half") * F.col("n")).alias("from"))
         .select(
             "doc_id",
             "n",
             "from",
-            (F.col("spot") - F.col("from")).alias("spot"),
+            F.struct((F.col("spot") - F.col("from")).alias("spot"), "at").alias("spot"),
             F.least(F.col("size") - F.col("from"), 2 * F.col("n")).alias("reach"),
             F.slice("words", F.col("from") + 1, 2 * F.col("n")).alias("words"),
         )
@@ -150,31 +158,34 @@ def _leaks(docs: DataFrame, bench: DataFrame, doc_id: str, text: str, k: int, sc
 
     def window(start: Column) -> Column:
         first = F.greatest(start, F.lit(0))
-        return F.struct(first.alias("first"), (F.least(start + F.col("n"), F.col("reach")) - first).alias("many"))
+        return F.struct(start.alias("start"), first.alias("first"), (F.least(start + F.col("n"), F.col("reach")) - first).alias("many"))
 
     def likely(w: Column) -> Column:
-        inside = F.filter("spots", lambda x: (x >= w["first"]) & (x <= w["first"] + w["many"] - k))
+        inside = F.filter("spots", lambda x: (x["spot"] >= w["first"]) & (x["spot"] <= w["first"] + w["many"] - k))
         return (w["many"] >= k) & enough(F.size(inside), w["many"])
 
     starts = F.sequence(F.when(F.col("from") == 0, 1 - F.col("n")).otherwise(F.lit(0)), F.least(F.col("n"), F.col("reach")) - 1)
     # A stretch with too few shingles for the shortest window that could be alike has none.
     rich = 100 * F.size("spots") >= LIKE * (F.col("n") - k + 1)
     laid = F.when(rich, F.filter(F.transform(starts, window), likely))
-    windows = stretches.select("doc_id", "n", "from", "hashes", F.explode_outer(laid).alias("w")).where("w is not null")
+    windows = stretches.select("doc_id", "n", "from", "hashes", "spots", F.explode_outer(laid).alias("w")).where("w is not null")
     windows = windows.select(
         "doc_id",
         "n",
         (F.col("from") + F.col("w.first")).alias("first"),
         F.col("w.many").alias("many"),
+        F.exists("spots", lambda x: F.array_contains(x["at"], x["spot"] - F.col("w.start"))).alias("placed"),
         F.slice("hashes", F.col("w.first") + 1, F.col("w.many") - k + 1).alias("hashes"),
     )
-    windows = windows.select("*", simhash(F.col("hashes")).alias("print"), F.sort_array("hashes").alias("sorted"))
-    windows = windows.select("doc_id", "n", "first", "many", "print", counted(F.col("sorted")).alias("bag"))
+    windows = windows.select("*", F.sort_array("hashes").alias("sorted"))
+    windows = windows.select("doc_id", "n", "first", "many", "placed", counted(F.col("sorted")).alias("bag"))
+    # Never null, or the join below would first filter by it, making its bag once for each bit.
+    windows = windows.select("*", F.coalesce(simhash(F.col("bag")), F.lit(0)).alias("print"))
 
     changes = F.explode(F.array(*[F.lit(x) for x in flips()])).alias("change")
     near = _in_blocks(items, "item", "n").select("*", changes)
     near = near.select("item", "n", "print", "block", F.col("value").bitwiseXOR(F.col("change")).alias("value"))
-    asked = _in_blocks(windows, "doc_id", "n", "first", "many", "bag")
+    asked = _in_blocks(windows, "doc_id", "n", "first", "many", "placed", "bag")
     q, i = asked.alias("q"), sized(scratch.save("near", near)).alias("i")
     differ = lambda b: F.bit_count(block(F.col("q.print"), b).bitwiseXOR(block(F.col("i.print"), b)))
     # A pair that meets in several blocks is taken in the first of them.
@@ -182,12 +193,13 @@ def _leaks(docs: DataFrame, bench: DataFrame, doc_id: str, text: str, k: int, sc
     pairs = q.join(i, (F.col("q.n") == F.col("i.n")) & (F.col("q.block") == F.col("i.block")) & (F.col("q.value") == F.col("i.value"))).where(
         (F.bit_count(F.col("q.print").bitwiseXOR(F.col("i.print"))) <= RADIUS) & (earliest == F.col("q.block"))
     )
-    pairs = pairs.select("q.doc_id", "i.item", "q.first", "q.many", F.col("q.bag").alias("window_bag"))
+    pairs = pairs.select("q.doc_id", "i.item", "q.first", "q.many", "q.placed", F.col("q.bag").alias("window_bag"))
     pairs = pairs.join(items.select("item", "item_id", "bag"), "item").select(
         "doc_id",
         "item_id",
         "first",
         "many",
+        "placed",
         F.size(F.array_intersect("window_bag", "bag")).alias("both"),
         (F.size("window_bag") + F.size("bag")).alias("sum"),
     )
@@ -195,7 +207,7 @@ def _leaks(docs: DataFrame, bench: DataFrame, doc_id: str, text: str, k: int, sc
     best = F.max(
         F.when(
             (100 + LIKE) * F.col("both") >= LIKE * F.col("sum"),
-            F.struct(share.alias("similarity"), (-F.col("first")).alias("first"), F.col("many").alias("many")),
+            F.struct(share.alias("similarity"), F.col("placed"), (-F.col("first")).alias("first"), F.col("many").alias("many")),
         )
     )
     return (
