@@ -108,6 +108,20 @@ def test_personal_base_and_more(docs, empty):
     assert pii.redact(pii.find(empty)).count() == 0
 
 
+def _spans(spark, rows):
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    return {r["row"]["doc_id"]: [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["spans"]] for r in pii.find(frame).collect()}
+
+
+def test_account_numbers_before_other_words(spark):
+    es, be, at = "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201"
+    de, compact = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    rows = [f"{es} Please", f"{be} The", f"{at} EUR 50", f"to {at} {be} {es} {de}", f"{compact}EUR 5", f"AT12 {be} X", f"é {de} 2021", f"{be[:-1]}5 The"]
+    want = [[es], [be], [at], [at, be, es, de], [compact], [be], [de], []]
+    got = _spans(spark, rows)
+    assert [[t for k, t in got[i] if k == "iban"] for i in range(len(rows))] == want
+
+
 def test_redaction_masks_every_span(docs):
     for r in pii.redact(pii.find(docs)).collect():
         text, out, at = texts()[r["row"]["doc_id"]] or "", "", 0

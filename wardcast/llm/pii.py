@@ -26,6 +26,18 @@ PATTERNS = {
     "ssn": r"[0-9]+(?:-[0-9]+)++",
 }
 
+#: Characters of an account number by country.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_NATIONAL = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in _LENGTHS.items())
+#: Only the start of an account number is a match, what follows is looked at: groups that
+#: belong to the next word or number must not hide a number, nor the next one.
+_IBAN_START = r"([A-Z]{2}[0-9]{2})(?=(" + PATTERNS["iban"].removeprefix("[A-Z]{2}[0-9]{2}") + "))"
+
 _OCTET = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
 #: Score of a confirmed match, and the words nearby that add to it.
@@ -94,17 +106,29 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     ``spans`` is an array of (kind, start, end, score) by kind as in ``KINDS``, then start;
     places are code points, the end exclusive. Matches of one kind are the leftmost ones
     that do not overlap; one that is not confirmed is dropped and not tried again further on.
+    An account number is tried from each place, with all groups that follow, then with as
+    many characters as its country has; the leftmost confirmed ones are taken.
 
     A null text counts as empty and has no spans. Equal rows get equal results, an empty
     table an empty one. Names of further columns cannot clash, they are inside ``row``.
     """
     df = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = {k: F.regexp_extract_all("text", F.lit(p), F.lit(0)) for k, p in PATTERNS.items()}
+    patterns = PATTERNS | {"iban": _IBAN_START}
+    found = {k: F.regexp_extract_all("text", F.lit(p), F.lit(0)) for k, p in patterns.items()}
     df = df.select("*", *[c.alias(f"m_{k}") for k, c in found.items()])
+    follows = F.regexp_extract_all("text", F.lit(_IBAN_START), F.lit(2))
+    df = df.select(
+        "*",
+        F.when(F.size("m_iban") > 0, follows).alias("follows"),
+    )
     # The text between the matches gives their places.
-    df = df.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).alias(f"p_{k}") for k, p in PATTERNS.items()])
+    df = df.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).alias(f"p_{k}") for k, p in patterns.items()])
+    df = df.select("*", F.transform("m_iban", lambda m, i: F.concat(m, F.get("follows", i))).alias("whole"))
+    df = df.select("*", F.transform("whole", lambda x: F.regexp_extract(x, rf"\A(?:{_NATIONAL})", 0)).alias("short"))
+    sure = lambda x: F.when(confirmed("iban", x), F.length(x)).otherwise(0)
     df = df.select(
         "*",
+        F.zip_with(F.transform("whole", sure), F.transform("short", sure), lambda a, b: F.greatest(a, b)).alias("long"),
         *[F.transform(f"m_{k}", _width(f"p_{k}")).alias(f"w_{k}") for k in KINDS],
     )
     zero = F.lit(0).cast("bigint")
@@ -112,25 +136,45 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def spans(kind: str) -> Column:
         def one(m: Column, i: Column) -> Column:
-            before, after = F.get(f"p_{kind}", i), F.get(f"p_{kind}", i + 1)
-            start = F.get(f"b_{kind}", i) + F.length(before)
-            near = F.right(before, F.lit(BEFORE)).rlike(f"(?i)({CONTEXT[kind]})") | F.left(after, F.lit(AFTER)).rlike(
-                f"(?i)({CONTEXT[kind]})"
-            )
+            start = (F.get(f"b_{kind}", i) + F.length(F.get(f"p_{kind}", i))).cast("bigint")
+            end = start + (F.get("long", i) if kind == "iban" else F.length(m))
+            holds = F.get("long", i) > 0 if kind == "iban" else confirmed(kind, m)
+            around = F.right(F.get(f"p_{kind}", i), F.lit(BEFORE)), F.left(F.get(f"p_{kind}", i + 1), F.lit(AFTER))
+            near = around[0].rlike(f"(?i)({CONTEXT[kind]})") | around[1].rlike(f"(?i)({CONTEXT[kind]})")
             score = F.lit(SCORES[kind]) + F.when(near, CONTEXT_GAIN).otherwise(0)
             return F.struct(
                 F.lit(kind).alias("kind"),
-                start.cast("bigint").alias("start"),
-                (start + F.length(m)).cast("bigint").alias("end"),
-                F.when(confirmed(kind, m), score).otherwise(F.lit(-1)).alias("score"),
+                start.alias("start"),
+                end.cast("bigint").alias("end"),
+                F.when(holds, score).otherwise(F.lit(-1)).alias("score"),
             )
 
         least = 0 if kind in BASE else THRESHOLD
-        return F.filter(F.transform(f"m_{kind}", one), lambda x: x["score"] >= least)
+        kept = F.filter(F.transform(f"m_{kind}", one), lambda x: x["score"] >= least)
+        return _apart(kept) if kind == "iban" else kept
 
     return df.select("row", "text", F.concat(*[spans(k) for k in KINDS]).alias("spans"))
 
 
+def _apart(spans: Column) -> Column:
+    """The leftmost spans that do not overlap."""
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:int>>")
+    free = lambda kept, x: (F.size(kept) == 0) | (x["start"] >= F.get(kept, F.size(kept) - 1)["end"])
+    return F.aggregate(spans, none, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+
+
+def _chunks(text: str, chunk: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+
+
+def _part(chunks: str, chunk: int, a: Column, b: Column) -> Column:
+    """Characters a to b, put together from the chunks they lie in."""
+    first = F.floor(a / chunk).cast("int")
+    last = F.floor((b - 1) / chunk).cast("int")
+    whole = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+    return F.when(b > a, F.substring(whole, (a % chunk + 1).cast("int"), (b - a).cast("int"))).otherwise(F.lit(""))
+
+
 def _width(before: str):
     """Characters of a match and of the text between it and the one before."""
     return lambda m, i: (F.length(m) + F.length(F.get(before, i))).cast("bigint")
@@ -152,7 +196,7 @@ def redact(found: DataFrame, chunk: int = 2048) -> DataFrame:
     df = df.select(
         "*",
         F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("kind")))).alias("sorted"),
-        F.when(F.col("found") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))).alias("chunks"),
+        F.when(F.col("found") > 0, _chunks("text", chunk)).alias("chunks"),
     )
     df = df.select("*", F.transform("sorted", lambda s: s["b"]).alias("ends"))
     df = df.select("*", running(F.col("ends"), lambda a, b: F.greatest(a, b), F.lit(0).cast("bigint")).alias("reached"))
@@ -162,13 +206,7 @@ def redact(found: DataFrame, chunk: int = 2048) -> DataFrame:
         lambda s: s["a"] >= s["from"],
     )
 
-    def part(a: Column, b: Column) -> Column:
-        """Characters a to b, put together from the chunks they lie in."""
-        first = F.floor(a / chunk).cast("int")
-        last = F.floor((b - 1) / chunk).cast("int")
-        whole = F.array_join(F.slice("chunks", first + 1, last - first + 1), "")
-        return F.when(b > a, F.substring(whole, (a % chunk + 1).cast("int"), (b - a).cast("int"))).otherwise(F.lit(""))
-
+    part = lambda a, b: _part("chunks", chunk, a, b)
     masked = F.transform(opens, lambda s: F.concat(part(s["from"], s["a"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
     tail = part(F.array_max("ends"), F.length("text").cast("bigint"))
     return df.select(
