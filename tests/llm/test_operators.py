@@ -122,6 +122,12 @@ def test_account_numbers_before_other_words(spark):
     assert [[t for k, t in got[i] if k == "iban"] for i in range(len(rows))] == want
 
 
+def test_context_reaches_over_other_matches(spark):
+    rows = ["SSNs: 123-45-6789, 111-22-3333", "SSN (2020-01-01): 123-45-6789", "ssn" + " " * 41 + "123-45-6789", "1-2 " * 99 + "é ssn 123-45-6789", "1-2, 123-45-6789 1-2 ssn"]
+    got = _spans(spark, rows)
+    assert [[t for k, t in got[i] if k == "ssn"] for i in range(5)] == [["123-45-6789", "111-22-3333"], ["123-45-6789"], [], ["123-45-6789"], ["123-45-6789"]]
+
+
 def test_redaction_masks_every_span(docs):
     for r in pii.redact(pii.find(docs)).collect():
         text, out, at = texts()[r["row"]["doc_id"]] or "", "", 0

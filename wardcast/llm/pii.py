@@ -55,6 +55,8 @@ CONTEXT_GAIN = 20
 THRESHOLD = 50
 #: Characters before and after a match that are searched for context.
 BEFORE, AFTER = 40, 20
+#: Texts are cut into pieces of so many characters, from which those are taken.
+NEAR_CHUNK = 256
 
 
 def luhn(digits: Column) -> Column:
@@ -107,7 +109,8 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     places are code points, the end exclusive. Matches of one kind are the leftmost ones
     that do not overlap; one that is not confirmed is dropped and not tried again further on.
     An account number is tried from each place, with all groups that follow, then with as
-    many characters as its country has; the leftmost confirmed ones are taken.
+    many characters as its country has; the leftmost confirmed ones are taken. Context is
+    searched in the whole text around a span, over other matches as well.
 
     A null text counts as empty and has no spans. Equal rows get equal results, an empty
     table an empty one. Names of further columns cannot clash, they are inside ``row``.
@@ -116,10 +119,13 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     patterns = PATTERNS | {"iban": _IBAN_START}
     found = {k: F.regexp_extract_all("text", F.lit(p), F.lit(0)) for k, p in patterns.items()}
     df = df.select("*", *[c.alias(f"m_{k}") for k, c in found.items()])
+    matched = F.greatest(*[F.size(f"m_{k}") for k in KINDS]) > 0
     follows = F.regexp_extract_all("text", F.lit(_IBAN_START), F.lit(2))
     df = df.select(
         "*",
         F.when(F.size("m_iban") > 0, follows).alias("follows"),
+        F.when(matched, _chunks("text", NEAR_CHUNK)).alias("near"),
+        F.length("text").cast("bigint").alias("chars"),
     )
     # The text between the matches gives their places.
     df = df.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).alias(f"p_{k}") for k, p in patterns.items()])
@@ -139,7 +145,10 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
             start = (F.get(f"b_{kind}", i) + F.length(F.get(f"p_{kind}", i))).cast("bigint")
             end = start + (F.get("long", i) if kind == "iban" else F.length(m))
             holds = F.get("long", i) > 0 if kind == "iban" else confirmed(kind, m)
-            around = F.right(F.get(f"p_{kind}", i), F.lit(BEFORE)), F.left(F.get(f"p_{kind}", i + 1), F.lit(AFTER))
+            around = (
+                _part("near", NEAR_CHUNK, F.greatest(start - BEFORE, F.lit(0)), start),
+                _part("near", NEAR_CHUNK, end, F.least(end + AFTER, F.col("chars"))),
+            )
             near = around[0].rlike(f"(?i)({CONTEXT[kind]})") | around[1].rlike(f"(?i)({CONTEXT[kind]})")
             score = F.lit(SCORES[kind]) + F.when(near, CONTEXT_GAIN).otherwise(0)
             return F.struct(
