@@ -152,6 +152,16 @@ def test_secrets(docs, empty, scratch):
     assert secret_scan.secrets(empty, scratch=scratch).count() == 0
 
 
+def test_secrets_behind_names_and_with_slashes(spark, scratch):
+    key, slashes = "Zx9Kq2LmN8vB4tR7wY1pS6dF3gH5jQ0c", "wJ4r/XU9tn/FE7MI2K+bPxR8f/iCYq3hLz/5Gd="
+    rows = [f"AUTH={key}", f"export ACCESS_KEY={key} x", f"?sig={key}&a=b", f"my_{slashes};", f"PRIVATE={slashes}", f"see {slashes}", f"/usr/share/{key}", "usr/share/lib/python/dist/packages/of/words"]
+    want = [{key}, {key}, {key}, {slashes}, {slashes}, {slashes}, {key}, set()]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    for r in secret_scan.secrets(frame, scratch=scratch).collect():
+        got = [rows[r["doc_id"]][s["start"] : s["end"]] for s in r["found"]]
+        assert len(got) == len(want[r["doc_id"]]) and all(any(w in g and "=" not in g[:-1] for g in got) for w in want[r["doc_id"]]), (r["doc_id"], got)
+
+
 def test_battery_tells_random_from_regular():
     r = random.Random(2)
     alphabet = dict(secret_scan.ALPHABETS)["hex"]

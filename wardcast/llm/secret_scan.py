@@ -27,8 +27,11 @@ _ASSIGN = re.compile(
 _KEYWORD = re.compile("passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile("AKIA[A-Z0-9]{14,}")
 _HEX = re.compile("[0-9a-f]{16,}")
-#: Candidates of the battery: without ``/`` and ``.``, so that paths and sentences fall apart.
-_RUN = re.compile("[A-Za-z0-9+_=-]{20,}")
+_PADDING = "(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
+#: Candidates of the battery, url-safe ones and those of base64: without ``.``, so that
+#: sentences fall apart. ``=`` is padding at the end, else it divides a name and its value.
+_RUNS = tuple(re.compile(f"[A-Za-z0-9{marks}]{{14,}}{_PADDING}") for marks in ("_-", "+/"))
+LEAST = 20
 
 #: Alphabets by which a candidate may have been encoded, the smallest that fits counts.
 ALPHABETS = (
@@ -67,7 +70,9 @@ def known(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [(m.start(), m.end()) for m in _RUN.finditer(text) if m[0].strip("=-_")]
+    """Places of both kinds of runs; one may lie inside one of the other kind."""
+    found = {m.span() for run in _RUNS for m in run.finditer(text) if len(m[0]) >= LEAST and m[0].strip("=-_+/")}
+    return sorted(found)
 
 
 def encoding(run: str) -> str | None:
@@ -136,11 +141,12 @@ def randomness(run: str) -> tuple[str, float]:
 
 
 def against_text(run: str, changes: float) -> float:
-    """Log10 of the chance that ordinary text changes its class of character so often."""
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in run.rstrip("=")]
+    """Log10 of the chance that ordinary text changes its class of character so often. A
+    slash changes none, or every path would be surprising."""
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in run.rstrip("=") if c != "/"]
     n = len(kinds) - 1
     k = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    if not n or not k:
+    if n < 1 or not k:
         return 0.0
     log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(changes) + (n - i) * math.log1p(-changes)
     top = log(k)
@@ -152,7 +158,7 @@ def against_text(run: str, changes: float) -> float:
 
 FOUND = (
     "doc_id bigint, base array<struct<start:bigint,kind:int,end:bigint>>, "
-    "runs array<struct<start:bigint,end:bigint,encoding:string,random:double,text:double>>"
+    "runs array<struct<start:bigint,end:bigint,encoding:string,random:double,text:double,outer:int>>"
 )
 
 
@@ -175,6 +181,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", battery: B
                         name, p = randomness(body[a:b])
                         if p >= battery.alpha:
                             left.append({"start": a, "end": b, "encoding": name, "random": p, "text": against_text(body[a:b], battery.text_changes)})
+                    _nest(left)
                     base = [{"start": a, "kind": k, "end": b} for a, k, b in known(body)]
                     out.append({"doc_id": key, "base": base, "runs": left})
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
@@ -182,16 +189,30 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", battery: B
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, FOUND)
 
 
+def _nest(runs: list[dict]) -> None:
+    """Sets ``outer`` of a run that lies inside another to the place of that one. Runs of one
+    kind are apart, so none lies inside two, and runs are sorted by start, then end."""
+    widest = None
+    for i, r in enumerate(runs):
+        if widest is not None and r["start"] == runs[widest]["start"]:
+            runs[widest]["outer"] = i  # starts where this longer one does
+        r["outer"] = widest if widest is not None and r["end"] <= runs[widest]["end"] else None
+        if widest is None or r["end"] > runs[widest]["end"]:
+            widest = i
+
+
 def _schema(pa):
     i = pa.int64()
     base = pa.struct([("start", i), ("kind", pa.int32()), ("end", i)])
-    found = pa.struct([("start", i), ("end", i), ("encoding", pa.string()), ("random", pa.float64()), ("text", pa.float64())])
+    found = pa.struct([("start", i), ("end", i), ("encoding", pa.string()), ("random", pa.float64()), ("text", pa.float64()), ("outer", pa.int32())])
     return pa.schema([("doc_id", i), ("base", pa.list_(base)), ("runs", pa.list_(found))])
 
 
 def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", battery: Battery = Battery(), scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, base, found): known forms by start, then kind, and the random strings among
-    the candidates of all documents, as (start, end, encoding, random, text).
+    the candidates of all documents, as (start, end, encoding, random, text). Url-safe runs
+    and base64 runs are candidates both; of two reported, one inside the other, the longer
+    stands.
 
     The rule on false discoveries is Benjamini and Hochberg's, over all candidates of the
     table; a candidate's chance is divided by a weight that grows with its length and has
@@ -208,10 +229,10 @@ def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", battery
     place = lambda p: F.least(F.greatest(F.floor(-8 * p), F.lit(0)), F.lit(battery.bins - 1)).cast("int")
     classes = single.groupBy(place(weighted(F.col("r.text"), length)).alias("at")).count().collect()  # bins rows at most
     limit = _discoveries({r["at"]: r["count"] for r in classes}, battery)
-    found = F.filter(
-        "runs", lambda r: place(weighted(r["text"], F.log2((r["end"] - r["start"]).cast("double")))) >= F.lit(limit)
-    )
-    return rows.select("doc_id", "base", found.alias("found"))
+    told = lambda r: place(weighted(r["text"], F.log2((r["end"] - r["start"]).cast("double")))) >= F.lit(limit)
+    found = F.filter("runs", lambda r: told(r) & ~F.coalesce(told(F.get("runs", r["outer"])), F.lit(False)))
+    fields = ("start", "end", "encoding", "random", "text")
+    return rows.select("doc_id", "base", F.transform(found, lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias("found"))
 
 
 def _discoveries(classes: dict[int, int], battery: Battery) -> int:
