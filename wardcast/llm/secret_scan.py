@@ -214,8 +214,8 @@ def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", battery
     and base64 runs are candidates both; of two reported, one inside the other, the longer
     stands.
 
-    The rule on false discoveries is Benjamini and Hochberg's, over all candidates of the
-    table; a candidate's chance is divided by a weight that grows with its length and has
+    The rule on false discoveries is Benjamini and Hochberg's, over the candidates of the
+    table that the battery leaves, not over all that it tried; a candidate's chance is divided by a weight that grows with its length and has
     the mean one. Chances are sorted into ``battery.bins`` classes, each taken at its upper
     end, so the rate holds. A null text counts as empty. Each input row gives a row, equal
     rows equal ones; further columns are not read; an empty table gives an empty result.
