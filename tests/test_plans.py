@@ -26,7 +26,7 @@ def stored(spark, tmp_path_factory):
     for name, source in SOURCES.items():
         if name == "calendar":  # days are generated
             continue
-        given[name].toDF(*[source.columns[c][0] for c in df.columns]).write.parquet(f"{root}/{source.physical}.parquet")
+        given[name].toDF(*[source.columns[c][0] for c in given[name].columns]).write.parquet(f"{root}/{source.physical}.parquet")
     return SourceTables.from_parquet(spark, root)
 
 
