@@ -187,9 +187,45 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) LEFT JOIN sizes USING (doc_id)
 """
 
+#: The terms of a text, with repeats.
+_TERMS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+_RANKED = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         {_TERMS} AS t
+  FROM documents
+), terms AS (SELECT r, unnest(t) AS term FROM d
+), tf AS (SELECT r, term, count(*) AS tf FROM terms GROUP BY ALL
+), size AS (SELECT r, doc_id, len(t) AS n FROM d WHERE len(t) > 0
+), total AS (SELECT count(*) AS docs, sum(n)::bigint AS l FROM size
+), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term
+), item AS (
+  SELECT row_number() OVER () AS i, item_id,
+         list_distinct({_TERMS}) AS t
+  FROM benchmark
+), asked AS (SELECT i, item_id, unnest(t) AS term FROM item
+), weighed AS (
+  SELECT i, item_id, term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint AS w
+  FROM asked JOIN df USING (term), total
+), scored AS (
+  SELECT i, item_id, doc_id, r,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // l))))::bigint AS score
+  FROM weighed JOIN tf USING (term) JOIN size USING (r), total
+  GROUP BY i, item_id, doc_id, r
+)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::int AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 50
+"""
+
 SQL: dict[str, str] = {
     "op1_quality_rules": _QUALITY,
     "op3_pii": _PII,
     "op7_decontamination": _LEAKS,
     "op9_ngram_jaccard_join": _JOIN,
+    "op13_ranked_search": _RANKED,
 }
