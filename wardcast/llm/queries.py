@@ -15,6 +15,7 @@ from wardcast.llm import (
     jaccard_join,
     license_scan,
     packing,
+    page_text,
     pii,
     quality_rules,
     ring_shards,
@@ -118,6 +119,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -135,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_ngram_jaccard_join,
         op10_secret_scans,
+        op12_html_extraction,
         op13_ranked_search,
     )
 }
