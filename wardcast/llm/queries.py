@@ -12,6 +12,7 @@ from wardcast.llm import (
     ball_search,
     chat_windows,
     decontamination,
+    hard_negatives,
     jaccard_join,
     license_scan,
     packing,
@@ -119,6 +120,16 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("embedding").cast("array<double>")
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").where(finite).select(
+        F.col("vec_id").alias("id"), moved.alias("label"), F.transform(x, lambda v: F.floor(256 * v)).alias("vector")
+    )
+    return hard_negatives.mine(rows, rows.where("id % 100 = 0"))
+
+
 def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.main_text(table(spark, sf_dir, "pages"))
 
@@ -140,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_ngram_jaccard_join,
         op10_secret_scans,
+        op11_hard_negatives,
         op12_html_extraction,
         op13_ranked_search,
     )

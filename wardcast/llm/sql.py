@@ -222,10 +222,40 @@ FROM scored WHERE score > 0
 QUALIFY rank <= 50
 """
 
+_NEGATIVES = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), long AS (SELECT r, unnest(x) AS x, unnest(range(len(x))) AS place FROM v
+), scores AS (
+  SELECT a.r AS a, b.r AS b, sum(a.x * b.x)::bigint AS score
+  FROM long a JOIN long b USING (place)
+  WHERE a.r IN (SELECT r FROM v WHERE vec_id % 100 = 0)
+  GROUP BY a.r, b.r
+), pairs AS (
+  SELECT p.r AS a, q.r AS b, p.vec_id AS anchor_id, q.vec_id AS id, p.label = q.label AS same, coalesce(score, 0) AS score
+  FROM (SELECT * FROM v WHERE vec_id % 100 = 0) p JOIN v q ON p.vec_id IS DISTINCT FROM q.vec_id
+  LEFT JOIN scores ON scores.a = p.r AND scores.b = q.r
+), positives AS (
+  SELECT * FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id,
+       row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.id NULLS LAST)::int AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.a = p.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5
+"""
+
 SQL: dict[str, str] = {
     "op1_quality_rules": _QUALITY,
     "op3_pii": _PII,
     "op7_decontamination": _LEAKS,
     "op9_ngram_jaccard_join": _JOIN,
+    "op11_hard_negatives": _NEGATIVES,
     "op13_ranked_search": _RANKED,
 }
