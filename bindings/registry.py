@@ -306,7 +306,7 @@ _ALL_CURVES = " UNION ALL ".join(
 
 @staged_query("q11b_survival_all_streams", _ALL_CURVES)
 def _(f):
-    return f.curves.drop("horizon")
+    return survival.by_day(f.curves).drop("horizon")
 
 
 @query(
@@ -314,7 +314,7 @@ def _(f):
     "SELECT service_group, service_name, day_num, denominator, numerator, probability FROM svc_curve",
 )
 def _(f):
-    return f.service_curves
+    return survival.by_day(f.service_curves)
 
 
 # -- predicted and expected occupancy -----------------------------------------------
@@ -353,7 +353,7 @@ def _(f):
 )
 def _(f):
     history = within(F.col("disch_ts"), f.cfg.usable_start, f.cfg.as_of)
-    curve = survival.survival_curve(f.deliveries.where(history), ["ob_status"], f.cfg.horizon_long)
+    curve = survival.curve_arrays(f.deliveries.where(history), ["ob_status"], f.cfg.horizon_long)
     spread = occupancy.spread_occupancy(f.expected_deliveries, curve, ["ob_status"], f.cfg.horizon_long, f.cfg)
     return spread.drop("expected")
 
@@ -364,7 +364,7 @@ def _(f):
 )
 def _(f):
     stream = _stream(f, OTHER)
-    curve = survival.survival_curve(stream.where("in_curve"), [], f.cfg.horizon, weight="copies")
+    curve = survival.curve_arrays(stream.where("in_curve"), [], f.cfg.horizon, weight="copies")
     by_dow = arrivals.predict_arrivals_dow(stream, "arrival_ts", [], f.calendar, f.cfg, weight="copies")
     daily = arrivals.predict_arrivals_daily(by_dow, f.calendar, f.cfg.horizon).withColumn(
         "cat_id", F.concat(F.lit("OTHER_DAY_"), F.col("arr_day").cast("string"))
@@ -471,3 +471,14 @@ def _(f):
         statuses=["Currently Admitted Patients", "Predicted Admissions", "Expected Admissions"],
     )
     return daily.withColumn("occupancy", F.round("occupancy", 6))
+
+
+@staged_query(
+    "q36_daily_arrivals_in_bed",
+    """SELECT "Pt_Type", "Primary_Procedure", sub_type, severity_level, prediction_status, "Days_Out" AS days_out,
+              round(sum("Est_Occupancy"), 6) AS occupancy FROM everything
+       WHERE prediction_status IN ('Predicted Admissions', 'Expected Admissions')
+       GROUP BY "Pt_Type", "Primary_Procedure", sub_type, severity_level, prediction_status, "Days_Out" """,
+)
+def _(f):
+    return f.arriving_daily.withColumn("occupancy", F.round("occupancy", 6))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tests.fixtures import AS_OF, CFG, rows
 from wardcast.functions.rows import repeat_rows
 from wardcast.operators import arrivals, calendar, occupancy, surgery
+from wardcast.operators.survival import from_days
 
 
 def full_calendar(spark, cfg=CFG):
@@ -43,7 +44,7 @@ def test_spread_is_the_truncated_product(spark):
     curve = [("a", d, 1 / (d + 1)) for d in range(31)] + [(None, d, 1.0) for d in range(31)]
     df = occupancy.spread_occupancy(
         spark.createDataFrame(arr, "k string, arr_day int, expected double"),
-        spark.createDataFrame(curve, "k string, day_num int, probability double"),
+        from_days(spark.createDataFrame(curve, "k string, day_num int, probability double"), ["k"]),
         ["k"], 30, CFG,
     )
     want = sorted(
@@ -56,7 +57,7 @@ def test_spread_is_the_truncated_product(spark):
 def test_spread_without_keys(spark):
     df = occupancy.spread_occupancy(
         spark.createDataFrame([(29, 2.0)], "arr_day int, expected double"),
-        spark.createDataFrame([(d, 0.5) for d in range(31)], "day_num int, probability double"),
+        from_days(spark.createDataFrame([(d, 0.5) for d in range(31)], "day_num int, probability double"), []),
         [], 30, CFG,
     )
     assert rows(df, "post_arr_day", "occupancy") == [(0, 1.0), (1, 1.0)]
@@ -64,6 +65,22 @@ def test_spread_without_keys(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_daily_occupancy_is_the_sum_of_the_spread(spark):
+    arr = [("a", "x", 1, 2.0), ("a", "x", 1, 0.5), ("a", "y", 3, 1.0), ("a", "x", 9, 4.0), ("a", "x", 31, 5.0), ("b", "x", 30, 1.0), (None, "x", 1, 9.0)]
+    curve = [("a", d, 1 / (d + 1)) for d in range(31)] + [("b", d, 0.25) for d in range(31)] + [("c", d, 1.0) for d in range(31)]
+    arrived = spark.createDataFrame(arr, "k string, s string, arr_day int, expected double")
+    curves = from_days(spark.createDataFrame(curve, "k string, day_num int, probability double"), ["k"])
+    total = F.round(F.sum("occupancy"), 9).alias("occupancy")
+    want = occupancy.spread_occupancy(arrived, curves, ["k"], 30, CFG).groupBy("k", "s", "days_out").agg(total)
+    got = occupancy.daily_occupancy(arrived, curves, ["k"], 30, ["s"]).withColumn("occupancy", F.round("occupancy", 9))
+    assert rows(got, "k", "s", "days_out", "occupancy") == rows(want) and got.count() == 30 + 28 + 1
+    by_key = occupancy.daily_occupancy(arrived.withColumn("h", F.lit(5)), curves, ["k"], "h")
+    assert by_key.columns == ["k", "days_out", "occupancy"] and {r["days_out"] for r in by_key.collect()} == {1, 2, 3, 4, 5}
+    one = from_days(spark.createDataFrame([(0, 1.0), (1, 0.5)], "day_num int, probability double"), [])
+    assert rows(occupancy.daily_occupancy(arrived.where("k is null"), one, [], 3)) == [(1, 9.0), (2, 4.5), (3, 0.0)]
+    assert rows(occupancy.daily_occupancy(arrived.limit(0), one, [], 3)) == []
+
+
 def test_rollup_switches(spark):
     df = spark.createDataFrame(
         [(date(2021, 5, 3), "ED", 1.0, "p"), (date(2021, 5, 3), "ED", 0.5, "p"), (date(2021, 5, 3), "OB", 2.0, "p"),

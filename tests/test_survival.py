@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.fixtures import rows
-from wardcast.operators.survival import conditional_occupancy, survival_curve
+from wardcast.operators.survival import by_day, conditional_occupancy, curve_arrays, from_days, survival_curve
 
 
 def brute_curve(stays, horizon):
@@ -67,7 +67,7 @@ def test_curve_never_rises(spark):
 
 
 def conditional(spark, patients, stays, horizon=3, curve_days=10):
-    curve = survival_curve(spark.createDataFrame(stays, "grp string, svc string, los int"), ["grp", "svc"], curve_days)
+    curve = curve_arrays(spark.createDataFrame(stays, "grp string, svc string, los int"), ["grp", "svc"], curve_days)
     current = spark.createDataFrame(patients, "csn int, svc string, days_into_admission int")
     df = conditional_occupancy(current, curve, "svc", horizon, curve_days)
     return rows(df, "csn", "days_out", "probability")
@@ -121,3 +121,26 @@ def test_curve_shuffles_counts_not_stays(spark):
     plan = survival_curve(df, ["a"], 30)._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_arrays_are_the_curves_by_day(spark):
+    stays = spark.createDataFrame(random_stays(5, 200), "a string, b string, los int")
+    arrays = curve_arrays(stays, ["a", "b"], 20)
+    assert {len(r["numerators"]) for r in arrays.collect()} == {21}
+    again = from_days(by_day(arrays), ["a", "b"])
+    assert rows(again) == rows(arrays, "a", "b", "probabilities")
+    assert rows(curve_arrays(stays.limit(0), [], 20)) == rows(curve_arrays(stays.limit(0), ["a"], 20)) == []
+
+
+def test_lengths_of_any_integer_type(spark):
+    lengths = [0, 3, 3, 90, None]
+    df = spark.createDataFrame([(n,) for n in lengths], "los bigint")
+    assert rows(survival_curve(df, [], 30)) == brute_curve([(n,) for n in lengths], 30)
+
+
+def test_patients_meet_curves_in_one_join(spark):
+    stays = spark.createDataFrame([("g", "a", 3)], "grp string, svc string, los int")
+    current = spark.createDataFrame([(1, "a", 1)], "csn int, svc string, days_into_admission int")
+    df = conditional_occupancy(current, curve_arrays(stays, ["grp", "svc"], 10), "svc", 3, 10)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Window" not in plan

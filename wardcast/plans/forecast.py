@@ -154,13 +154,13 @@ class Forecast:
 
     @cached_property
     def curves(self) -> DataFrame:
-        """Survival curves of all patient types, each up to its own horizon."""
+        """Survival curves of all patient types as arrays, each up to its own horizon."""
         keys = [*TYPE_KEYS, "horizon"]
         discharged = self.profile.where(F.col("disch_ts").isNotNull())
         rows = profile.memberships(discharged, self.cfg).where("in_curve").select(*keys, "los", "copies")
         if self.cfg.include_non_admitted:
             rows = rows.unionByName(self._never_admitted())
-        return survival.survival_curve(rows, TYPE_KEYS, "horizon", weight="copies")
+        return survival.curve_arrays(rows, TYPE_KEYS, "horizon", weight="copies")
 
     def _never_admitted(self) -> DataFrame:
         """Performed surgeries without an inpatient stay, as stays of zero days."""
@@ -176,9 +176,9 @@ class Forecast:
 
     @cached_property
     def service_curves(self) -> DataFrame:
-        """Survival curves per service, for patients already in bed."""
+        """Survival curves per service as arrays, for patients already in bed."""
         discharged = self.encounters.where(F.col("disch_ts") < F.lit(self.cfg.as_of))
-        return survival.survival_curve(discharged, ["service_group", "service_name"], self.cfg.curve_days)
+        return survival.curve_arrays(discharged, ["service_group", "service_name"], self.cfg.curve_days)
 
     # -- who will arrive ------------------------------------------------------
 
@@ -248,6 +248,13 @@ class Forecast:
 
     # -- the forecast -----------------------------------------------------------
 
+    @cached_property
+    def arriving_daily(self) -> DataFrame:
+        """Heads per type and day by patients still to arrive, without a row per arrival group."""
+        return occupancy.daily_occupancy(
+            self.predicted.unionByName(self.expected), self.curves, TYPE_KEYS, "horizon", ["prediction_status"]
+        )
+
     @cached_property
     def arriving_rows(self) -> DataFrame:
         """Occupancy by patients still to arrive."""
