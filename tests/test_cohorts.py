@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.fixtures import AS_OF, CFG, encounter, rows, sources, ts
 from wardcast.functions.rows import repeat_rows
 from wardcast.operators import encounters, newborns, obstetrics, profile, surgery, transfers
+from wardcast.operators.survival import by_day
 from wardcast.plans.forecast import Forecast
 from wardcast.plans.staging import Lazy
 
@@ -544,9 +545,9 @@ def test_non_admitted_surgeries_lower_the_curve_on_request(spark):
         "contact": [contact(1, "a", "2020-06-01"), contact(2, "b", "2020-06-01")],
     }
     first_day = F.col("day_num") == 0
-    assert rows(forecast(spark, **tables).curves.where(first_day), "denominator", "numerator") == [(1, 1)]
+    assert rows(by_day(forecast(spark, **tables).curves).where(first_day), "denominator", "numerator") == [(1, 1)]
     all_cases = forecast(spark, replace(CFG, include_non_admitted=True), **tables)
-    assert rows(all_cases.curves.where(first_day), "denominator", "numerator") == [(2, 1)]
+    assert rows(by_day(all_cases.curves).where(first_day), "denominator", "numerator") == [(2, 1)]
 
 
 def test_small_forecast_by_hand(spark):

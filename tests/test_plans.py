@@ -69,6 +69,35 @@ def test_ranking_prunes_before_the_shuffle(stored):
         assert "Partial" in "".join(line for line in plan(df).splitlines() if "WindowGroupLimit" in line)
 
 
+def _lines_below(text, word):
+    """The plan's lines of the operators below the first that has the word."""
+    lines = text.splitlines()
+    at = next(i for i, line in enumerate(lines) if word in line)
+    depth = len(lines[at]) - len(lines[at].lstrip(" :+-"))
+    below = []
+    for line in lines[at + 1 :]:
+        if len(line) - len(line.lstrip(" :+-")) <= depth:
+            break
+        below.append(line)
+    return below
+
+
+def test_destinations_reduce_encounters_and_histories_first(spark, stored, tmp_path):
+    with Tables(spark, str(tmp_path)) as stage:
+        text = plan(transfers.transfer_destinations(stored, CONFIG, stage))
+    # Counted and few: a broadcast on the scan's side of each exchange, before anything is ranked.
+    for column, ids in (("ADMIT_CONF_STAT_C", "attached"), ("STATUS_UPDATE_UTC_DTTM", "targets")):
+        lines = text.splitlines()
+        scan = next(i for i, line in enumerate(lines) if "FileScan" in line and column in line)
+        above = lines[:scan]
+        join = max(i for i, line in enumerate(above) if "Join" in line)
+        assert "BroadcastHashJoin" in above[join] and "LeftSemi" in above[join]
+        assert not any("Exchange hashpartitioning" in line for line in above[join:])
+        assert any(f"/{ids}]" in line for line in lines)
+    unstaged = plan(transfers.transfer_destinations(stored, CONFIG))
+    assert unstaged.count("LeftSemi") >= 3
+
+
 def test_no_products_and_no_python_rows(spark, stored):
     f = Forecast(stored, CONFIG, Tables(spark))
     for df in (f.rows, f.profile, f.due, f.expected_surgeries):

@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from wardcast.config import ForecastConfig
 from wardcast.functions.dates import forecast_day
+from wardcast.functions.keys import Split
 from wardcast.functions.text import label
+from wardcast.plans.staging import Lazy
 from wardcast.sources.tables import SourceTables
 
 NORMAL = "Normal"
 
 
-def prior_contacts(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
+def prior_contacts(tables: SourceTables, cfg: ForecastConfig, stage=Lazy()) -> DataFrame:
     """Kept prenatal contacts with the due date and risk flag they carry.
 
     Due dates are collapsed per contact before they meet the contacts, so every
-    join adds columns to a contact and none multiplies it.
+    join adds columns to a contact and none multiplies it. What is known of an episode is
+    one row before the links meet it, in one join; an episode with very many links is split
+    if ``stage`` stores results.
     """
     codes = cfg.codes
     due = (
@@ -25,11 +29,13 @@ def prior_contacts(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
         .where(F.col("is_working") == codes.working_due_date)
         .groupBy("episode_id")
         .agg(F.max("due_user_ts").alias("due_user_ts"), F.max("due_system_ts").alias("due_system_ts"))
+        .join(tables["episode"], "episode_id", "left_semi")
     )
+    links = tables["episode_link"]
+    split = Split.of(links, "episode_id", stage, "heavy_episodes")
     due_by_contact = (
-        tables["episode_link"]
-        .join(due, "episode_id")
-        .join(tables["episode"], "episode_id", "left_semi")
+        split.many(links)
+        .join(split.one(due), split.on)
         .groupBy("csn")
         .agg(F.max("due_user_ts").alias("due_user_ts"), F.max("due_system_ts").alias("due_system_ts"))
     )

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 from wardcast.config import ForecastConfig, SiteCodes
 from wardcast.functions.dates import utc_to_local
+from wardcast.functions.keys import KeySet, Split
+from wardcast.plans.staging import Lazy
 from wardcast.sources.tables import SourceTables
 
 
-def transfer_requests(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
+def transfer_requests(tables: SourceTables, cfg: ForecastConfig, stage=Lazy()) -> DataFrame:
     """Completed requests with type labels and the direct-admission flag.
 
     One row per request and intake encounter; equal intake rows are counted in
-    ``copies`` before they meet the request.
+    ``copies`` before they meet the request. A request with very many intake encounters is
+    split if ``stage`` stores results.
     """
     codes = cfg.codes
     completed = (
@@ -30,11 +33,10 @@ def transfer_requests(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
         .agg(F.count("*").alias("copies"))
     )
     direct = F.when(F.col("topic_c") == codes.direct_admit_topic, 1).otherwise(0)
+    requests = tables["request"].where(F.col("origin_c") == codes.transfer_origin).join(completed, "comm_id")
     return (
-        tables["request"]
-        .where(F.col("origin_c") == codes.transfer_origin)
-        .join(completed, "comm_id")
-        .join(intake, "comm_id", "left")
+        Split.of(intake, "comm_id", stage, "heavy_requests")
+        .left_join_many(requests, intake)
         .join(tables["request_status"], "status_c", "left")
         .join(tables["topic"], "topic_c", "left")
         .join(tables["transfer_type"], "transfer_type_c", "left")
@@ -82,56 +84,72 @@ def _progress(codes: SiteCodes) -> Column:
     return F.when(state.isin(*codes.admitted_or_discharged), 0).otherwise(state)
 
 
-def destination_admissions(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
+def destination_admissions(attached: DataFrame, encounter: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """Best encounter attached to each destination; equal rows are counted.
 
-    Whether a destination qualifies for a request does not depend on the
-    encounter, so the choice among a destination's encounters can be made once
-    for all requests, before the requests are joined.
+    ``attached`` has (destination_id, destination_csn, copies). Whether a destination qualifies for a
+    request does not depend on the encounter, so the choice among a destination's encounters
+    can be made once for all requests, before the requests are joined.
     """
-    admissions = tables["encounter"].select(
-        F.col("csn").alias("destination_csn"), "admit_conf_c", "patient_stat_c"
-    )
+    admissions = encounter.select(F.col("csn").alias("destination_csn"), "admit_conf_c", "patient_stat_c")
     best = W.partitionBy("destination_id").orderBy(
         F.col("admit_conf_c").asc_nulls_first(),
         _progress(cfg.codes).asc_nulls_first(),
         F.col("destination_csn").desc_nulls_last(),
     )
     return (
-        tables["attachment"]
-        .groupBy(F.col("comm_id").alias("destination_id"), F.col("csn").alias("destination_csn"))
-        .agg(F.count("*").alias("copies"))
-        .join(admissions, "destination_csn", "left")
+        attached.join(admissions, "destination_csn", "left")
         .withColumn("_rank", F.rank().over(best))
         .where(F.col("_rank") == 1)
         .drop("_rank")
     )
 
 
-def transfer_destinations(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
+def transfer_destinations(tables: SourceTables, cfg: ForecastConfig, stage=Lazy()) -> DataFrame:
     """Best destination of each request among those accepted or left undecided.
 
     Order: admission confirmation, admitted or discharged before other states,
     newest status update, highest encounter id; missing values first when
     ascending and last when descending. Ties are all kept, equal rows counted in
     ``copies``.
+
+    Which ids are destinations is settled first. They reduce the status histories and the
+    attachments and, where results are stored, what is attached reduces the encounters, before
+    any of those is ranked or shuffled. An id that very many targets share is split over the
+    whole chain of joins.
     """
     codes = cfg.codes
-    targets = (
+    own = tables["request"].where(F.col("origin_c") == codes.transfer_origin).select("comm_id")
+    details = tables["request_detail"].join(own, "comm_id", "left_semi").select(
+        "comm_id", F.col("status_c").alias("request_status_c"), "region_id"
+    )
+    named = (
         tables["attachment"]
         .where(F.col("attachment_c") == codes.target_attachment)
         .select("comm_id", F.col("target_comm_id").alias("destination_id"), "reason_c")
     )
-    details = tables["request_detail"].select(
-        "comm_id", F.col("status_c").alias("request_status_c"), "region_id"
-    )
+    targets = stage("targets", named.join(details, "comm_id"))
+    # In one unstored plan the ids come from the scan alone, so nothing before it runs twice.
+    wanted = KeySet.of(targets if stage.stores else named, "destination_id", stage.stores)
     destination_details = tables["request_detail"].select(
         F.col("comm_id").alias("destination_id"), F.col("status_c").alias("destination_status_c")
     )
-    history = latest_status(tables["status_history"]).select(
+    history = latest_status(wanted.reduce(tables["status_history"], "comm_id")).select(
         F.col("comm_id").alias("destination_id"), "line", "update_utc_ts", "previous_status_c"
     )
-    own = tables["request"].where(F.col("origin_c") == codes.transfer_origin).select("comm_id")
+    attached = stage(
+        "attached",
+        wanted.reduce(tables["attachment"].select(F.col("comm_id").alias("destination_id"), "csn"), "destination_id")
+        .groupBy("destination_id", F.col("csn").alias("destination_csn"))
+        .agg(F.count("*").alias("copies")),
+    )
+    encounter = tables["encounter"].select("csn", "admit_conf_c", "patient_stat_c")
+    if stage.stores:
+        encounter = KeySet.of(attached, "destination_csn", stored=True).reduce(encounter, "csn")
+    split = Split.of(targets, "destination_id", stage, "heavy_destinations")
+    met = split.many(targets)
+    for known in (destination_details, history, destination_admissions(attached, encounter, cfg)):
+        met = met.join(split.one(known), split.on, "left")
 
     cancelled = F.col("request_status_c") == codes.request_cancelled
     accepted = F.col("destination_status_c").isin(*codes.destination_accepted)
@@ -144,16 +162,9 @@ def transfer_destinations(tables: SourceTables, cfg: ForecastConfig) -> DataFram
         F.col("destination_csn").desc_nulls_last(),
     )
     return (
-        targets.join(details, "comm_id")
-        .join(destination_details, "destination_id", "left")
-        .join(history, "destination_id", "left")
-        .where((~cancelled & accepted) | (cancelled & was_accepted) | undecided)
-        .join(destination_admissions(tables, cfg), "destination_id", "left")
+        met.where((~cancelled & accepted) | (cancelled & was_accepted) | undecided)
         .withColumn("_rank", F.rank().over(best))
         .where(F.col("_rank") == 1)
-        # Whether a request belongs to the transfer centre is the same for all its
-        # rows, so it is settled on the few that are left, already placed by request.
-        .join(own, "comm_id", "left_semi")
         .join(tables["conf_status"], "admit_conf_c", "left")
         .join(tables["patient_status"], "patient_stat_c", "left")
         .select(

@@ -94,7 +94,7 @@ class Forecast:
 
     @cached_property
     def patient_status(self) -> DataFrame:
-        contacts = obstetrics.prior_contacts(self.tables, self.cfg)
+        contacts = obstetrics.prior_contacts(self.tables, self.cfg, self.stage)
         return self.stage("patient_status", obstetrics.patient_status(contacts, self.cfg))
 
     @cached_property
@@ -116,8 +116,8 @@ class Forecast:
     @cached_property
     def transfers(self) -> DataFrame:
         return transfers.transfer_admissions(
-            transfers.transfer_requests(self.tables, self.cfg),
-            transfers.transfer_destinations(self.tables, self.cfg),
+            transfers.transfer_requests(self.tables, self.cfg, self.stage),
+            transfers.transfer_destinations(self.tables, self.cfg, self.stage),
         )
 
     @cached_property

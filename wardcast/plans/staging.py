@@ -26,6 +26,8 @@ def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
 class Lazy:
     """Stages nothing: every use of a result is part of one query plan."""
 
+    stores = False
+
     def __call__(self, name: str, df: DataFrame) -> DataFrame:
         return df
 
@@ -40,6 +42,8 @@ class Tables:
     removes it; results that read staged tables must be stored by then.
     """
 
+    stores = True
+
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self._spark = spark
         self.root = f"{shared_folder(spark, folder)}/wardcast-{uuid.uuid4().hex}"
