@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,9 @@ from wardcast.operators import (
 )
 from wardcast.operators.profile import EMERGENCY, OB, OTHER, TYPE_KEYS
 from wardcast.plans.forecast import Forecast
+from wardcast.plans.history import CensusHistory, StayHistory
 from wardcast.plans.staging import Lazy
+from wardcast.sources.sink import read_forecast, write_forecast
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 BUILDS: dict[str, Callable[[Forecast], DataFrame]] = {}
@@ -482,3 +486,48 @@ def _(f):
 )
 def _(f):
     return f.arriving_daily.withColumn("occupancy", F.round("occupancy", 6))
+
+
+# -- what is kept from run to run ---------------------------------------------------------
+
+
+def _earlier(f, days: int) -> Forecast:
+    """The run of some days before."""
+    return Forecast(f.tables, replace(f.cfg, as_of=f.cfg.as_of - timedelta(days=days)), Lazy())
+
+
+@staged_query("q37_published_forecast", "SELECT * FROM everything")
+def _(f):
+    path = f"{f.stage.root}/published"
+    write_forecast(f.rows, path, f.cfg.as_of)
+    return read_forecast(f.tables.spark, path)
+
+
+@staged_query(
+    "q38_census_by_day",
+    """SELECT csn, census_date, days_into_admission, service_group, service_name, pt_type AS "Pt_Type",
+              primary_procedure AS "Primary_Procedure", sub_type, severity_level, department_name, census_ts FROM hist""",
+)
+def _(f):
+    # Two runs before this one, and days that this one makes again.
+    kept = CensusHistory(f.tables.spark, f"{f.stage.root}/census", refresh=3)
+    for days in (400, 20):
+        before = _earlier(f, days)
+        kept.update(before.tables, before.days, before.cfg)
+    now = Forecast(f.tables, f.cfg, Lazy(), census=kept)
+    now.profile = f.profile
+    return repeat_rows(now.history)
+
+
+@staged_query(
+    "q39_service_curves_by_day",
+    "SELECT service_group, service_name, day_num, denominator, numerator, probability FROM svc_curve",
+)
+def _(f):
+    kept = StayHistory(f.tables.spark, f"{f.stage.root}/stays", ["service_group", "service_name"], f.cfg.curve_days)
+    start = f.cfg.hist_start
+    # The run of a month ago, over a history that began earlier: this one adds days and takes days away.
+    for first, last in ((start - timedelta(days=90), f.cfg.as_of - timedelta(days=30)), (start, f.cfg.as_of)):
+        kept.update(f.encounters, "disch_ts", first, last)
+        curves = kept.curves(first, last, f.cfg.curve_days)
+    return survival.by_day(curves)

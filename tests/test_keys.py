@@ -5,11 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tests.fixtures import CFG, rows, ts
+from tests.fixtures import CFG, encounter, rows, ts
 from tests.test_cohorts import forecast, transfer_tables
 from wardcast.functions import keys
 from wardcast.functions.keys import KeySet, Split
-from wardcast.operators import obstetrics, transfers
+from wardcast.operators import census, obstetrics, profile, transfers
 from wardcast.plans.staging import Lazy, Tables
 
 
@@ -155,3 +155,18 @@ def test_contacts_with_an_episode_that_many_share(spark, stage, monkeypatch):
     )
     got = rows(obstetrics.prior_contacts(f.tables, CFG, stage), "csn", "due_ts")
     assert got == rows(obstetrics.prior_contacts(f.tables, CFG), "csn", "due_ts") and len(got) > 50
+
+
+def test_census_of_an_encounter_with_very_many_movements(spark, stage, monkeypatch):
+    monkeypatch.setattr(keys, "MOST_ROWS", 10)
+    move = lambda csn, minute: {
+        "csn": csn, "effective_ts": ts(f"2021-04-29 23:{minute:02d}"), "department_id": 1, "event_type_c": 6, "event_subtype_c": 1,
+    }
+    f = forecast(
+        spark,
+        encounter=[encounter(i, f"p{i}", "2021-04-28 10:00") for i in range(20)],
+        movement=[move(1, n % 60) for n in range(90)] + [move(i, i) for i in range(30)],
+    )
+    tags = profile.tag_source(f.profile, direct_only=False)
+    got = rows(census.midnight_census(f.tables, f.days, tags, CFG, stage))
+    assert got == rows(census.midnight_census(f.tables, f.days, tags, CFG)) and len(got) == 110

@@ -69,17 +69,14 @@ def test_ranking_prunes_before_the_shuffle(stored):
         assert "Partial" in "".join(line for line in plan(df).splitlines() if "WindowGroupLimit" in line)
 
 
-def _lines_below(text, word):
-    """The plan's lines of the operators below the first that has the word."""
-    lines = text.splitlines()
-    at = next(i for i, line in enumerate(lines) if word in line)
-    depth = len(lines[at]) - len(lines[at].lstrip(" :+-"))
-    below = []
-    for line in lines[at + 1 :]:
-        if len(line) - len(line.lstrip(" :+-")) <= depth:
-            break
-        below.append(line)
-    return below
+def _above(lines, at):
+    """The operators that line ``at`` of a plan feeds, nearest first."""
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    least = depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < least:
+            least = depth(line)
+            yield line
 
 
 def test_destinations_reduce_encounters_and_histories_first(spark, stored, tmp_path):
@@ -89,15 +86,30 @@ def test_destinations_reduce_encounters_and_histories_first(spark, stored, tmp_p
     for column, ids in (("ADMIT_CONF_STAT_C", "attached"), ("STATUS_UPDATE_UTC_DTTM", "targets")):
         lines = text.splitlines()
         scan = next(i for i, line in enumerate(lines) if "FileScan" in line and column in line)
-        above = lines[:scan]
-        join = max(i for i, line in enumerate(above) if "Join" in line)
-        assert "BroadcastHashJoin" in above[join] and "LeftSemi" in above[join]
-        assert not any("Exchange hashpartitioning" in line for line in above[join:])
+        first = next(line for line in _above(lines, scan) if "Join" in line or "Exchange" in line)
+        assert "BroadcastHashJoin" in first and "LeftSemi" in first
         assert any(f"/{ids}]" in line for line in lines)
     unstaged = plan(transfers.transfer_destinations(stored, CONFIG))
     assert unstaged.count("LeftSemi") >= 3
 
 
+def test_bucketed_results_are_not_shuffled_again(spark, stored, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with Tables(spark, str(tmp_path)) as stage:
+            f = Forecast(stored, CONFIG, stage)
+            for df, name in ((f.history, "profile"), (f.profile.join(f.profile.select("csn"), "csn", "left_semi"), "profile")):
+                lines = plan(df).splitlines()
+                at = max(i for i, line in enumerate(lines) if "FileScan" in line and f"/{name}]" in line)
+                assert "Bucketed: true" in lines[at]
+                assert "SortMergeJoin" in next(line for line in _above(lines, at) if "Join" in line or "Exchange" in line)
+            assert f.history.count() > 0
+            assert len(stage._bucketed) == 2
+        assert not [t for t in spark.catalog.listTables() if stage._id in t.name] and not list(tmp_path.iterdir())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_no_products_and_no_python_rows(spark, stored):
     f = Forecast(stored, CONFIG, Tables(spark))
     for df in (f.rows, f.profile, f.due, f.expected_surgeries):
@@ -111,7 +123,7 @@ def test_encounters_are_shuffled_once_for_all_evidence(spark, stored):
     try:
         f = Forecast(stored, CONFIG, Lazy())
         staged = Tables(spark)
-        f.encounters = staged("encounters", f.encounters)
+        f.encounters = staged("encounters", f.encounters, by="csn")
         f.deliveries = staged("deliveries", f.deliveries)
         text = plan(f.profile)
     finally:

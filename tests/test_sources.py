@@ -1,9 +1,10 @@
 import os
 import subprocess
 import sys
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.fixtures import CFG, encounter, frame, rows, sources
 from wardcast.functions.dates import utc_to_local
@@ -11,7 +12,7 @@ from wardcast.plans import staging
 from wardcast.plans.forecast import OUTPUT_COLUMNS, Forecast
 from wardcast.plans.staging import Lazy, Tables
 from wardcast.sources.layout import SOURCES
-from wardcast.sources.sink import write_forecast
+from wardcast.sources.sink import read_forecast, tidy, write_forecast
 from wardcast.sources.tables import SourceTables, to_logical
 
 
@@ -56,13 +57,49 @@ def test_missing_columns_are_named(spark):
 
 def test_forecast_is_written_by_status(spark, tmp_path):
     f = Forecast(sources(spark, encounter=[encounter(3, "c", "2019-05-02")]), CFG, Lazy())
-    write_forecast(f.rows, str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(back.columns) == sorted(OUTPUT_COLUMNS) and back.count() == 31
+    write_forecast(f.rows, str(tmp_path / "out"), CFG.as_of)
+    back = read_forecast(spark, str(tmp_path / "out"))
+    assert back.columns == OUTPUT_COLUMNS and back.dtypes == f.rows.dtypes and back.count() == 31
     only = back.where("prediction_status = 'Historical Census'")
     assert "PartitionFilters: [isnotnull(prediction_status" in only._jdf.queryExecution().executedPlan().toString()
 
 
+def published(spark, rows_):
+    return spark.createDataFrame(rows_, "n int, prediction_status string")
+
+
+def test_a_run_that_fails_leaves_the_one_before(spark, tmp_path):
+    path = str(tmp_path)
+    with pytest.raises(LookupError):
+        read_forecast(spark, path)
+    write_forecast(published(spark, [(1, "a"), (2, "b")]), path, CFG.as_of)
+    # One partition is written and another raises.
+    bad = published(spark, [(i, "a") for i in range(8)]).repartition(8, "n").withColumn("n", F.expr("IF(n = 5, raise_error('no'), n)"))
+    with pytest.raises(Exception, match="no"):
+        write_forecast(bad, path, CFG.as_of)
+    assert rows(read_forecast(spark, path)) == [(1, "a"), (2, "b")]
+    assert len(list((tmp_path / "runs").iterdir())) == 1
+    # What a driver that is killed would leave: a run without its marker.
+    published(spark, [(9, "z")]).write.partitionBy("prediction_status").parquet(f"{path}/runs/half")
+    (tmp_path / "published" / "_2021-05-03.1.half").write_text("x")
+    assert rows(read_forecast(spark, path)) == [(1, "a"), (2, "b")]
+
+
+def test_runs_replace_those_of_their_day(spark, tmp_path):
+    path, earlier = str(tmp_path), CFG.as_of - timedelta(days=1)
+    reader = write_forecast(published(spark, [(1, "a")]), path, CFG.as_of) and read_forecast(spark, path)
+    write_forecast(published(spark, [(2, "a")]), path, CFG.as_of)
+    write_forecast(published(spark, [(3, "a")]), path, earlier)
+    write_forecast(published(spark, []), path, earlier)
+    assert rows(reader) == [(1, "a")]  # who reads the run before goes on reading it
+    assert rows(read_forecast(spark, path)) == [(2, "a")]
+    assert rows(read_forecast(spark, path, earlier)) == []
+    published(spark, [(9, "z")]).write.parquet(f"{path}/runs/half")
+    tidy(spark, path)
+    assert len(list((tmp_path / "runs").iterdir())) == 2
+    assert rows(read_forecast(spark, path)) == [(2, "a")] and rows(read_forecast(spark, path, earlier)) == []
+
+
 def test_output_types(spark):
     f = Forecast(sources(spark), CFG, Lazy())
     assert f.rows.dtypes == [

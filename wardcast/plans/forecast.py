@@ -35,6 +35,7 @@ from wardcast.operators.profile import (
     TRANSFER,
     TYPE_KEYS,
 )
+from wardcast.plans.history import CensusHistory, StayHistory
 from wardcast.plans.staging import Lazy, Tables
 from wardcast.sources.tables import SourceTables
 
@@ -63,13 +64,25 @@ class Forecast:
     """One forecast run. Each property is a DataFrame; only staged ones run early.
 
     ``stage`` receives the results that several parts read: by default they are
-    written to the shared folder, with :class:`~wardcast.plans.staging.Lazy`
+    written to the shared folder, those with a row per encounter in buckets by it; with :class:`~wardcast.plans.staging.Lazy`
     everything stays one query plan.
+
+    ``census`` and ``stays`` are what earlier runs left; with them only days that are new are read
+    from the movements, and counted for the curves of services.
     """
 
-    def __init__(self, tables: SourceTables, cfg: ForecastConfig, stage=None):
+    def __init__(
+        self,
+        tables: SourceTables,
+        cfg: ForecastConfig,
+        stage=None,
+        census: CensusHistory | None = None,
+        stays: StayHistory | None = None,
+    ):
         self.tables = tables
         self.cfg = cfg
+        self.census_history = census
+        self.stay_history = stays
         self.stage = stage if stage is not None else Tables(tables.spark)
 
     # -- days ------------------------------------------------------------
@@ -90,7 +103,7 @@ class Forecast:
 
     @cached_property
     def encounters(self) -> DataFrame:
-        return self.stage("encounters", encounters.encounters(self.tables, self.cfg))
+        return self.stage("encounters", encounters.encounters(self.tables, self.cfg), by="csn")
 
     @cached_property
     def patient_status(self) -> DataFrame:
@@ -134,6 +147,7 @@ class Forecast:
                 emergency.acuity_labels(self.tables["acuity"]),
                 self.cfg,
             ),
+            by="csn",
         )
 
     @cached_property
@@ -177,6 +191,9 @@ class Forecast:
     @cached_property
     def service_curves(self) -> DataFrame:
         """Survival curves per service as arrays, for patients already in bed."""
+        if (kept := self.stay_history) is not None:
+            kept.update(self.encounters, "disch_ts", self.cfg.hist_start, self.cfg.as_of)
+            return kept.curves(self.cfg.hist_start, self.cfg.as_of, self.cfg.curve_days)
         discharged = self.encounters.where(F.col("disch_ts") < F.lit(self.cfg.as_of))
         return survival.curve_arrays(discharged, ["service_group", "service_name"], self.cfg.curve_days)
 
@@ -307,7 +324,10 @@ class Forecast:
     @cached_property
     def history(self) -> DataFrame:
         tags = profile.tag_source(self.profile, direct_only=False, dedupe=self.cfg.dedupe)
-        return census.midnight_census(self.tables, self.days, tags, self.cfg)
+        if (kept := self.census_history) is not None:
+            kept.update(self.tables, self.days, self.cfg)
+            return census.tagged_census(kept.moves(self.cfg), tags, self.stage, weight="weight")
+        return census.midnight_census(self.tables, self.days, tags, self.cfg, self.stage)
 
     @cached_property
     def history_rows(self) -> DataFrame:

@@ -28,7 +28,7 @@ class Lazy:
 
     stores = False
 
-    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+    def __call__(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
         return df
 
     def close(self) -> None:
@@ -38,6 +38,10 @@ class Lazy:
 class Tables:
     """Stages a result as Parquet in the shared folder and reads it back.
 
+    With ``by`` the result is stored as a table in buckets of that column, as many as a
+    shuffle has partitions, so that joins and groups by it move the other side only; it is
+    written in the partitions its own last join left, if that was by the column.
+
     Everything is in a folder of the run's own. ``close``, or leaving a ``with`` block,
     removes it; results that read staged tables must be stored by then.
     """
@@ -46,14 +50,25 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self._spark = spark
-        self.root = f"{shared_folder(spark, folder)}/wardcast-{uuid.uuid4().hex}"
+        self._id = uuid.uuid4().hex
+        self._bucketed: list[str] = []
+        self.root = f"{shared_folder(spark, folder)}/wardcast-{self._id}"
 
-    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+    def __call__(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        return self._spark.read.schema(df.schema).parquet(path)
+        if by is None:
+            df.write.parquet(path)
+            return self._spark.read.schema(df.schema).parquet(path)
+        buckets = int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"wardcast_{self._id}_{name}"
+        # One file per bucket: a task holds whole buckets.
+        df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", path).saveAsTable(table)
+        self._bucketed.append(table)
+        return self._spark.table(table)
 
     def close(self) -> None:
+        while self._bucketed:
+            self._spark.sql(f"DROP TABLE IF EXISTS {self._bucketed.pop()}")
         path = self._spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
 
