@@ -6,7 +6,8 @@ again for the next one.
 
 In every stage null texts count as empty. Rows without doc_id cannot be told apart by it:
 they are cleaned, masked and packed like others, take part in the search for benchmark
-passages, and are never taken for copies. Empty tables give empty tables. Further columns of
+passages, and are never taken for copies. Rows that repeat a doc_id are documents of their own if
+their texts differ; of those with equal texts one stays. Empty tables give empty tables. Further columns of
 the documents are carried along, whatever their names, up to the last stage.
 """
 
@@ -34,18 +35,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the smallest doc_id, once."""
+    """Keeps one document of each group of linked ones: the one with the smallest doc_id.
+
+    Rows that repeat an id are told apart by their texts. Those with other texts are documents
+    of their own, and go only if they are linked to another; in a group they come after
+    all whose id is not repeated, in the order of a hash. Of rows that repeat id and text one stays, the one
+    whose columns come first as JSON.
+    """
     scratch = Scratch(spark)
-    found = scratch.save("components", jaccard_join.join(docs, scratch=scratch))
-    first = found.where("doc_id = component_id").select("doc_id", "text_key").distinct()
     rows = docs.select(
-        F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key")
+        F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("text_key"), "text"
     )
-    kept = rows.join(first, ["doc_id", "text_key"], "left_semi")
-    if found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])  # rows that repeat an id
-    nameless = rows.where("doc_id is null")
-    return kept.unionByName(nameless).select("row.*")
+    named, nameless = rows.where("id is not null"), rows.where("id is null")
+    repeated = scratch.save("repeated", named.groupBy("id").count().where("count > 1").select("id"))
+    if repeated.limit(1).count():
+        own = F.lit(1 << 62).cast("bigint") + F.xxhash64("id", "text_key").bitwiseAND(F.lit((1 << 61) - 1))
+        again = (
+            named.join(repeated, "id", "left_semi")
+            .groupBy("id", "text_key")
+            .agg(F.min_by("row", F.to_json("row")).alias("row"), F.any_value("text").alias("text"))
+            .withColumn("id", own)
+        )
+        named = named.join(repeated, "id", "left_anti").unionByName(again)
+        named = scratch.save("told-apart", named)
+    found = scratch.save("components", jaccard_join.join(named.select("id", "text"), doc_id="id", scratch=scratch))
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("id"))
+    return named.join(first, "id", "left_semi").select("row").unionByName(nameless.select("row")).select("row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
