@@ -6,6 +6,7 @@ their shingles verifies them.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -44,7 +45,7 @@ class _Template:
         hashes, row = word_hashes.words(data, np.array([0, len(data)]), word_hashes.MARKS)
         found, _ = word_hashes.runs(hashes, row, k)
         self.license, self.name = license_, name
-        self.set = np.unique(found)
+        self.set, self.times = np.unique(found, return_counts=True)
         if not len(self.set):
             raise ValueError(f"template {license_}/{name} has fewer than {k} words")
 
@@ -110,32 +111,79 @@ def _find(data: np.ndarray, starts: np.ndarray, known: list[_Template], factors:
             for i, t in enumerate(known):
                 if len(t.set) == size:
                     hits[i].update(np.flatnonzero(least == permuted(t.set, factor).min()).tolist())
+    notices: dict[int, list[tuple]] = {}
     for i, t in enumerate(known):
-        yield from _verify(t, sorted(hits[i]), cuts[len(t.set)], found, where, place, bands)
+        for x in _verify(t, sorted(hits[i]), cuts[len(t.set)], found, where, place, bands):
+            notices.setdefault(x[0], []).append(x)
+    for row in sorted(notices):
+        yield from _settled(notices[row])
 
 
-def _verify(t: _Template, windows: list[int], cuts: np.ndarray, found: np.ndarray, where: np.ndarray, place: np.ndarray, bands: Bands):
-    """Exact containment of the windows that a band retrieved, the best of overlapping ones."""
-    held = None  # row, first shingle, last, containment
-    for w in windows:
-        a = int(cuts[w])
-        b = min(a + 2 * len(t.set), len(found))
-        inside = (where[a:b] == where[a]) & np.isin(found[a:b], t.set)
-        at = np.flatnonzero(inside)
-        share = len(np.unique(found[a:b][inside])) / len(t.set)
-        if 100 * share < bands.contained:
-            continue
-        new = (int(where[a]), a + int(at[0]), a + int(at[-1]), share)
-        if held and held[0] == new[0] and new[1] <= held[2]:
-            held = max(held, new, key=lambda x: x[3])
+def occurrences(spots: np.ndarray, hashes: np.ndarray, template: _Template, contained: int) -> list[tuple[int, int, float]]:
+    """(first shingle, last shingle, containment) of each notice among the places where a
+    template's shingles stand.
+
+    A stretch belongs to one notice as long as it has no shingle more often than the template
+    has, and at most twice its length. From left to right, the first stretch with enough
+    of the template is found; of those that begin inside of it the one with most of it stands,
+    then the shortest, then the first, unless what is before that is enough by itself.
+    """
+    kind = np.searchsorted(template.set, hashes)
+    n, size = len(spots), len(template.set)
+    least = -(-contained * size // 100)
+    held = np.zeros(size, np.int64)
+    ends, counts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    b = different = 0
+    for a in range(n):
+        while b < n and spots[b] - spots[a] < 2 * size and held[kind[b]] < template.times[kind[b]]:
+            different += held[kind[b]] == 0
+            held[kind[b]] += 1
+            b += 1
+        ends[a], counts[a] = b, different
+        held[kind[a]] -= 1
+        different -= held[kind[a]] == 0
+    out = []
+    a = 0
+    while a < n:
+        if counts[a] < least:
+            a += 1
             continue
-        if held:
-            yield _row(t, held, place, bands)
-        held = new
-    if held:
-        yield _row(t, held, place, bands)
+        # The last shingle that adds to the count ends the notice.
+        inside = range(a, int(ends[a]))
+        best = min(inside, key=lambda x: (-counts[x], spots[ends[x] - 1] - spots[x], x))
+        before = len(np.unique(kind[a:best]))
+        first, stop, count = (a, best, before) if before >= least else (best, int(ends[best]), int(counts[best]))
+        out.append((int(spots[first]), int(spots[stop - 1]), count / size))
+        a = stop
+    return out
 
 
-def _row(t: _Template, held: tuple, place: np.ndarray, bands: Bands) -> tuple:
-    row, first, last, share = held
-    return row, t.license, t.name, int(place[first]), int(last - first + bands.shingle), float(share)
+def _verify(t: _Template, windows: list[int], cuts: np.ndarray, found: np.ndarray, where: np.ndarray, place: np.ndarray, bands: Bands):
+    """(row, licence, template, first word, words, containment) of the notices in the windows
+    that a band retrieved, and as far around them as a notice may reach."""
+    reach = 2 * len(t.set)
+    stretches: list[list[int]] = []
+    for w in windows:
+        row = where[cuts[w]]
+        a = max(int(cuts[w]) - reach, int(np.searchsorted(where, row)))
+        b = min(int(cuts[w]) + 2 * reach, int(np.searchsorted(where, row, "right")))
+        if stretches and where[stretches[-1][0]] == row and a <= stretches[-1][1]:
+            stretches[-1][1] = b
+        else:
+            stretches.append([a, b])
+    for a, b in stretches:
+        spots = a + np.flatnonzero(np.isin(found[a:b], t.set))
+        for first, last, share in occurrences(spots, found[spots], t, bands.contained):
+            yield int(where[first]), t.license, t.name, int(place[first]), int(last - first + bands.shingle), float(share)
+
+
+def _settled(notices: list[tuple]) -> list[tuple]:
+    """Without notices that overlap a better one of another licence."""
+    order = {x: i for i, x in enumerate(notices)}
+    longest = max(x[4] for x in notices)
+    kept: list[tuple[int, int, tuple]] = []  # by first word
+    for x in sorted(notices, key=lambda x: (-x[5], -x[4], order[x])):
+        near = kept[bisect.bisect_left(kept, (x[3] - longest,)) : bisect.bisect_left(kept, (x[3] + x[4],))]
+        if not any(k[1] != x[1] and x[3] < k[3] + k[4] for _, _, k in near):
+            bisect.insort(kept, (x[3], order[x], x))
+    return sorted((x for _, _, x in kept), key=order.__getitem__)
