@@ -1,0 +1,163 @@
+"""Random strings among ordinary ones, and the selection against a plain computation."""
+
+import math
+import random
+import re
+from collections import Counter
+from decimal import Decimal
+
+import pytest
+
+from wardcast.llm import secret_scan
+from wardcast.llm.secret_scan import ALPHABETS, LEAST, Battery, TextModel
+from wardcast.llm.shared import Scratch
+
+SYLLABLES = "the re an ing tion er on en at es or ti nd is ment ly ble st ou le de al ic ver com pro per".split()
+
+
+def word(r, n=3):
+    return "".join(r.choice(SYLLABLES) for _ in range(r.randint(1, n)))
+
+
+def prose(r, n):
+    return " ".join(word(r) if r.random() < 0.95 else str(r.randrange(10 ** r.randint(1, 8))) for _ in range(n))
+
+
+def ordinary(r):
+    """Long strings that a text or a program may well hold."""
+    words = [word(r, 2) for _ in range(8)]
+    return [
+        "".join(words[:6]),
+        "_".join(words),
+        "-".join(words),
+        "/".join(words),
+        "".join(w.capitalize() for w in words),
+        "_".join(words).upper(),
+        "".join(words[:5]).upper(),
+        "=" * 40,
+        "-" * 30 + "a",
+        "0" * 30,
+        "abcdefghijklmnopqrstuvwxyz",
+        "0123456789abcdef0123456789abcdef"[:20],
+    ]
+
+
+def run(spark, folder, texts, **more):
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, runs string, weight int")
+    rows = secret_scan.secrets(docs.repartition(3), scratch=Scratch(spark, str(folder)), **more).collect()
+    return {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"]] for r in rows}
+
+
+def test_a_random_string_of_every_alphabet_is_found(spark, tmp_path):
+    r = random.Random(1)
+    texts, want = [prose(r, 3000)], {0: []}
+    for name, alphabet in ALPHABETS:
+        for length in (32, 48, 64):
+            for _ in range(3):
+                made = "".join(r.choice(alphabet) for _ in range(length)).replace("-", "x", 1 if name == "base64url" else 0)
+                before = prose(r, 30) + " "
+                want[len(texts)] = [(len(before), len(before) + length)]
+                texts.append(f"{before}{made} {prose(r, 10)}")
+    got = run(spark, tmp_path, texts)
+    lost = Counter()
+    for i in range(1, len(texts)):
+        name = ALPHABETS[(i - 1) // 9][0]
+        covered = any(a <= want[i][0][0] + 8 and b >= want[i][0][1] - 8 for a, b in got[i])
+        lost[name] += not covered
+    # The battery itself turns away one in a thousand, and a mark may cut one short.
+    assert sum(lost.values()) <= 2 and max(lost.values()) <= 1 and got[0] == []
+
+
+def test_one_case_keys(spark, tmp_path):
+    r = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [prose(r, 3000)]
+    texts += [f"{prose(r, 9)} {''.join(r.choice(letters) for _ in range(64))} {prose(r, 9)}" for _ in range(10)]
+    texts += [f"{prose(r, 9)} {''.join(r.choice(letters.upper()) for _ in range(64))} {prose(r, 9)}" for _ in range(10)]
+    got = run(spark, tmp_path, texts)
+    assert got[0] == [] and sum(len(got[i]) == 1 for i in range(1, 21)) >= 19
+
+
+def test_ordinary_long_strings_are_not(spark, tmp_path):
+    r = random.Random(3)
+    texts = [prose(r, 2000)] + [f"{prose(r, 5)} {x} {prose(r, 5)}" for _ in range(40) for x in ordinary(r)]
+    # A hundred random ones beside them, so that the rate has something to allow.
+    keys = ["".join(r.choice(dict(ALPHABETS)["base62"]) for _ in range(40)) for _ in range(100)]
+    got = run(spark, tmp_path, texts + keys)
+    assert sum(len(got[len(texts) + i]) for i in range(100)) >= 98
+    assert sum(len(got[i]) for i in range(len(texts))) <= 2
+
+
+def plain(texts, battery):
+    """The selection, from its definition."""
+    code = re.compile("[A-Za-z0-9_+/=-]+")
+    seen, numbers = Counter(), Counter()
+    follows = [[1] * 26 for _ in range(26)]
+    letters = [1] * 26
+    for text in texts:
+        short = code.sub(lambda m: m[0] if len(m[0]) < LEAST else "\n" * len(m[0]), text or "")
+        codes = [ord(c.lower()) - 97 if c.isascii() and c.isalpha() else "d" if c in "0123456789" else "o" for c in short]
+        for x, y in zip(codes, codes[1:], strict=False):
+            if y not in ("d", "o"):
+                letters[y] += 1
+                if x not in ("d", "o"):
+                    follows[x][y] += 1
+            if x == "d":
+                numbers[y == "d"] += 1
+    digit = (numbers[True] + 1) / (numbers[True] + numbers[False] + 2)
+    tried, left = 0, []
+    for i, text in enumerate(texts):
+        for a, b in secret_scan.candidates(text or ""):
+            tried += 1
+            name, p = secret_scan.randomness(text[a:b])
+            if p < battery.alpha:
+                continue
+            weight = math.log2(b - a) * min(1, p / (10 * battery.alpha))
+            chance = drawn = Decimal(1)
+            before = None
+            for c in text[a:b].rstrip("=").replace("/", ""):
+                kind = "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o"
+                on = before is not None and (kind == before[0] or (before[0], kind) == ("u", "l"))
+                chance *= Decimal(1 if before is None else 1 - battery.text_changes if on else battery.text_changes / 3)
+                if kind in "ul":
+                    x = ord(c.lower()) - 97
+                    chance *= Decimal(follows[before[1]][x] / sum(follows[before[1]]) if on else letters[x] / sum(letters))
+                else:
+                    x = None
+                    chance *= Decimal(1 / 3 if kind == "o" else 0.1 * (digit if before and before[0] == "d" else 1))
+                drawn /= len(dict(ALPHABETS)[name])
+                before = (kind, x)
+            left.append((i, a, b, min(0.0, float((chance / drawn).log10())), weight))
+        seen[i] = 0
+    mean = sum(x[4] for x in left) / tried
+    classes = [(min(399, max(0, math.floor(-8 * (p - math.log10(w / mean))))), i, a, b) for i, a, b, p, w in left]
+    limit = 400
+    for n, (at, *_) in enumerate(sorted(classes, reverse=True)):
+        if 10 ** (-at / 8) <= battery.rate * sum(c[0] >= at for c in classes) / tried:
+            limit = at
+    told = {i: [(a, b) for at, j, a, b in classes if j == i and at >= limit] for i in seen}
+    return {i: [s for s in spans if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans)] for i, spans in told.items()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_selection_equals_a_plain_computation(spark, tmp_path, seed):
+    r = random.Random(seed)
+    texts = [prose(r, 200) for _ in range(20)] + [None, "", "é" * 50, " ".join(ordinary(r))]
+    for _ in range(60):
+        alphabet = r.choice(ALPHABETS)[1]
+        made = "".join(r.choice(alphabet) for _ in range(r.choice((20, 22, 26, 32, 40, 150))))
+        texts.append(f"{prose(r, 3)} {r.choice(('', 'KEY=', 'a/b='))}{made}{r.choice(('', '==', '/x'))} {r.choice(ordinary(r))}")
+    battery = Battery(rate=0.05)
+    got = run(spark, tmp_path, texts, battery=battery)
+    assert got == plain(texts, battery)
+    assert 20 < sum(map(len, got.values())) < 150
+
+
+def test_pairs_of_letters_are_counted_within_texts_and_short_runs(spark):
+    docs = spark.createDataFrame([("ab",), ("Ba12 " + "q" * 20,), (None,), ("b",)], "text string").coalesce(1)
+    counts = {r["pair"]: r["n"] for r in secret_scan.pairs(docs).collect()}
+    code = lambda x, y: x * 29 + y
+    assert counts[code(0, 1)] == 1 and counts[code(1, 0)] == 1 and counts[code(26, 26)] == 1 and code(16, 16) not in counts
+    assert secret_scan.pairs(docs.limit(0)).count() == 0
+    model = TextModel.of({})
+    assert math.isclose(model.digit, math.log(0.5)) and math.isclose(model.letters[0], -math.log(26))

@@ -1,10 +1,12 @@
 """Secrets in texts: known forms, and strings that a battery of tests finds random.
 
-A candidate is a long run of code characters. Its encoding is inferred, the uniformity of
-its alphabet (chi-squared), its runs and its serial correlation are tested, and a test
-against ordinary text says how surprising its changes of character class would be there.
-Which candidates are reported is settled over all documents by the false discovery rate,
-with more weight for longer strings.
+A candidate is a long run of code characters. Its encoding is inferred, and the uniformity of
+its alphabet (chi-squared), its runs and its serial correlation are tested: the battery. How
+surprising it would be in ordinary text is told by a model of text, with the letter pairs of the
+whole corpus: if text makes the string so many times less likely than drawing from its alphabet
+does, that is its chance there at most. Which candidates are reported is settled over all
+that were tried, by the false discovery rate with weights: the longer a string, and the better
+it stands the battery, the more; one that the battery finds not random has none.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ ALPHABETS = (
     ("digits", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("hex_upper", "0123456789ABCDEF"),
+    ("lower", "abcdefghijklmnopqrstuvwxyz"),
+    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
@@ -48,8 +53,9 @@ ALPHABETS = (
 
 @dataclass(frozen=True)
 class Battery:
-    """``alpha``: below it a string is not random; ``rate``: share of false discoveries;
-    ``text_changes``: how often ordinary text changes its character class."""
+    """``alpha``: below it a string is not random; from ten times that on it has full weight;
+    ``rate``: share of false discoveries; ``text_changes``: how often ordinary text changes its
+    character class inside of a run."""
 
     alpha: float = 0.001
     rate: float = 0.01
@@ -140,31 +146,113 @@ def randomness(run: str) -> tuple[str, float]:
     return name, math.exp(-x) * (1 + x + x * x / 2)
 
 
-def against_text(run: str, changes: float) -> float:
-    """Log10 of the chance that ordinary text changes its class of character so often. A
-    slash changes none, or every path would be surprising."""
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in run.rstrip("=") if c != "/"]
-    n = len(kinds) - 1
-    k = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    if n < 1 or not k:
-        return 0.0
-    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(changes) + (n - i) * math.log1p(-changes)
-    top = log(k)
-    total, i = 1.0, k + 1
-    while i <= n and (term := math.exp(log(i) - top)) > 1e-12:
-        total, i = total + term, i + 1
-    return min(0.0, (top + math.log(total)) / math.log(10))
+def weight(length: int, random: float, battery: Battery) -> float:
+    """Of a candidate in the false discovery rate; 0 if the battery finds it not random."""
+    return 0.0 if random < battery.alpha else math.log2(length) * min(1.0, random / (10 * battery.alpha))
+
+
+# -- ordinary text ----------------------------------------------------------------------
+
+#: Codes of bytes for the counts: letters without case, digits, other characters of code, the rest.
+_DIGIT, _MARK, _REST = 26, 27, 28
+_CODES = np.full(256, _REST, np.uint8)
+_CODES[ord("a") : ord("z") + 1] = _CODES[ord("A") : ord("Z") + 1] = np.arange(26)
+_CODES[ord("0") : ord("9") + 1] = _DIGIT
+_CODES[[ord(c) for c in "_-+/="]] = _MARK
+
+
+def pairs(docs: DataFrame) -> DataFrame:
+    """(pair, n) of neighbouring codes in all texts, but for runs as long as candidates."""
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        from wardcast.llm import word_hashes
+
+        total = np.zeros(29 * 29, np.int64)
+        for batch in batches:
+            for _, _, data, starts in word_hashes.slices(batch.column(0)):
+                codes = _CODES[data]
+                edges = starts[1:-1]
+                edges = edges[(edges > 0) & (edges < len(data))]  # nothing goes on over the end of a text
+                inside = codes != _REST
+                begins, ends = inside.copy(), inside.copy()
+                begins[1:] &= ~inside[:-1]
+                ends[:-1] &= ~inside[1:]
+                begins[edges] |= inside[edges]
+                ends[edges - 1] |= inside[edges - 1]
+                first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+                for i in np.flatnonzero(last - first + 1 >= LEAST):
+                    codes[first[i] : last[i] + 1] = _REST
+                both = codes[:-1].astype(np.int64) * 29 + codes[1:]
+                both[edges - 1] = 29 * 29 - 1
+                total += np.bincount(both, minlength=29 * 29)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["pair", "n"])
+
+    counts = docs.mapInArrow(run, "pair int, n bigint")
+    return counts.groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+@dataclass(frozen=True)
+class TextModel:
+    """Natural logarithms of chances in ordinary text: ``follows`` of a letter after a letter,
+    ``letters`` of a letter anywhere, ``digit`` that a number goes on."""
+
+    follows: list[list[float]] = field(repr=False)
+    letters: list[float] = field(repr=False)
+    digit: float
+
+    @classmethod
+    def of(cls, counts: dict[int, int]) -> TextModel:
+        """From counts of pairs; each thing counts once more than it was seen."""
+        table = np.zeros(29 * 29)
+        for pair, n in counts.items():
+            table[pair] = n
+        table = table.reshape(29, 29)
+        follows = table[:26, :26] + 1
+        letters = table[:, :26].sum(axis=0) + 1
+        number = (table[_DIGIT, _DIGIT] + 1) / (table[_DIGIT].sum() + 2)
+        return cls(
+            np.log(follows / follows.sum(axis=1, keepdims=True)).tolist(), np.log(letters / letters.sum()).tolist(), math.log(number)
+        )
+
+    def surprise(self, run: str, encoding: str, changes: float) -> float:
+        """Log10 of the chance that text makes a string so much less likely than drawing it from
+        its alphabet does; 0 if it does not. A slash is left out, or every path would be
+        surprising."""
+        same, other = math.log1p(-changes), math.log(changes / 3)
+        drawn = -math.log(len(dict(ALPHABETS)[encoding]))
+        total, before, letter = 0.0, "", 0
+        for c in run.rstrip("="):
+            if c == "/":
+                continue
+            kind = "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o"
+            # A capital letter begins a word, so small ones after it are no change.
+            goes_on = kind == before or (kind == "l" and before == "u")
+            step = 0.0 if not before else same if goes_on else other
+            if kind in "ul":
+                code = ord(c.lower()) - 97
+                step += self.follows[letter][code] if goes_on else self.letters[code]
+                letter = code
+            elif kind == "d":
+                step += -math.log(10) + (self.digit if kind == before else 0.0)
+            else:
+                step -= math.log(3)
+            total += step - drawn
+            before = kind
+        return min(0.0, total / math.log(10))
 
 
 FOUND = (
-    "doc_id bigint, base array<struct<start:bigint,kind:int,end:bigint>>, "
-    "runs array<struct<start:bigint,end:bigint,encoding:string,random:double,text:double,outer:int>>"
+    "doc_id bigint, base array<struct<start:bigint,kind:int,end:bigint>>, tried bigint, weight double, "
+    "runs array<struct<start:bigint,end:bigint,encoding:string,random:double,text:double,weight:double,outer:int>>"
 )
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", battery: Battery = Battery()) -> DataFrame:
-    """Per document the known forms, and the candidates that the battery leaves as random,
-    with the log10 chance of each in ordinary text."""
+def scan(docs: DataFrame, model: TextModel, doc_id: str = "doc_id", text: str = "text", battery: Battery = Battery()) -> DataFrame:
+    """Per document the known forms, how many candidates were tried and the sum of their
+    weights, and those with a weight, with the log10 chance of each in ordinary text."""
 
     def run(batches: Iterator):
         import pyarrow as pa
@@ -176,14 +264,16 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", battery: B
             for some in by_chars(rows, lambda r: len(r[1])):
                 out = []
                 for key, body in some:
-                    left = []
-                    for a, b in candidates(body):
+                    left, tried = [], candidates(body)
+                    for a, b in tried:
                         name, p = randomness(body[a:b])
-                        if p >= battery.alpha:
-                            left.append({"start": a, "end": b, "encoding": name, "random": p, "text": against_text(body[a:b], battery.text_changes)})
+                        if w := weight(b - a, p, battery):
+                            chance = model.surprise(body[a:b], name, battery.text_changes)
+                            left.append({"start": a, "end": b, "encoding": name, "random": p, "text": chance, "weight": w})
                     _nest(left)
                     base = [{"start": a, "kind": k, "end": b} for a, k, b in known(body)]
-                    out.append({"doc_id": key, "base": base, "runs": left})
+                    total = math.fsum(r["weight"] for r in left)
+                    out.append({"doc_id": key, "base": base, "tried": len(tried), "weight": total, "runs": left})
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, FOUND)
@@ -202,10 +292,10 @@ def _nest(runs: list[dict]) -> None:
 
 
 def _schema(pa):
-    i = pa.int64()
+    i, x = pa.int64(), pa.float64()
     base = pa.struct([("start", i), ("kind", pa.int32()), ("end", i)])
-    found = pa.struct([("start", i), ("end", i), ("encoding", pa.string()), ("random", pa.float64()), ("text", pa.float64()), ("outer", pa.int32())])
-    return pa.schema([("doc_id", i), ("base", pa.list_(base)), ("runs", pa.list_(found))])
+    found = pa.struct([("start", i), ("end", i), ("encoding", pa.string()), ("random", x), ("text", x), ("weight", x), ("outer", pa.int32())])
+    return pa.schema([("doc_id", i), ("base", pa.list_(base)), ("tried", i), ("weight", x), ("runs", pa.list_(found))])
 
 
 def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", battery: Battery = Battery(), scratch: Scratch | None = None) -> DataFrame:
@@ -214,30 +304,32 @@ def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", battery
     and base64 runs are candidates both; of two reported, one inside the other, the longer
     stands.
 
-    The rule on false discoveries is Benjamini and Hochberg's, over the candidates of the
-    table that the battery leaves, not over all that it tried; a candidate's chance is divided by a weight that grows with its length and has
-    the mean one. Chances are sorted into ``battery.bins`` classes, each taken at its upper
-    end, so the rate holds. A null text counts as empty. Each input row gives a row, equal
-    rows equal ones; further columns are not read; an empty table gives an empty result.
+    The rule on false discoveries is Benjamini and Hochberg's with weights, over all
+    candidates of the table; a candidate's chance is divided by its :func:`weight`, and the
+    weights have the mean one. Chances are sorted into ``battery.bins`` classes, each taken at its upper
+    end, so the rate holds. Letter pairs are counted over all texts. A null text counts as empty.
+    Each input row gives a row, equal rows equal ones; further columns are not read; an empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = (scratch or Scratch(spark)).save("secrets", scan(docs, doc_id, text, battery))
-    single = rows.select(F.explode("runs").alias("r"))
-    length = F.log2((F.col("r.end") - F.col("r.start")).cast("double"))
-    mean = single.agg(F.avg(length).alias("w")).first()["w"] or 1.0
-    weighted = lambda run, n: run - F.log10(n / F.lit(mean))
-    place = lambda p: F.least(F.greatest(F.floor(-8 * p), F.lit(0)), F.lit(battery.bins - 1)).cast("int")
-    classes = single.groupBy(place(weighted(F.col("r.text"), length)).alias("at")).count().collect()  # bins rows at most
-    limit = _discoveries({r["at"]: r["count"] for r in classes}, battery)
-    told = lambda r: place(weighted(r["text"], F.log2((r["end"] - r["start"]).cast("double")))) >= F.lit(limit)
+    counts = {r["pair"]: r["n"] for r in pairs(docs.select(F.col(text).alias("text"))).collect()}  # 29 * 29 numbers
+    rows = (scratch or Scratch(spark)).save("secrets", scan(docs, TextModel.of(counts), doc_id, text, battery))
+    sums = rows.agg(F.sum("tried").alias("tried"), F.sum("weight").alias("weight")).first()
+    mean = (sums["weight"] or 0.0) / (sums["tried"] or 1) or 1.0
+    place = lambda r: F.least(
+        F.greatest(F.floor(-8 * (r["text"] - F.log10(r["weight"] / F.lit(mean)))), F.lit(0)), F.lit(battery.bins - 1)
+    ).cast("int")
+    classes = rows.select(F.explode("runs").alias("r")).groupBy(place(F.col("r")).alias("at")).count().collect()  # bins rows at most
+    limit = _discoveries({r["at"]: r["count"] for r in classes}, sums["tried"] or 0, battery)
+    told = lambda r: place(r) >= F.lit(limit)
     found = F.filter("runs", lambda r: told(r) & ~F.coalesce(told(F.get("runs", r["outer"])), F.lit(False)))
     fields = ("start", "end", "encoding", "random", "text")
     return rows.select("doc_id", "base", F.transform(found, lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias("found"))
 
 
-def _discoveries(classes: dict[int, int], battery: Battery) -> int:
+def _discoveries(classes: dict[int, int], total: int, battery: Battery) -> int:
     """The first class that is reported, from the most surprising one down."""
-    total, seen, limit = sum(classes.values()), 0, battery.bins
+    seen, limit = 0, battery.bins
     for at in sorted(classes, reverse=True):
         seen += classes[at]
         if 10 ** (-at / 8) <= battery.rate * seen / total:
