@@ -64,7 +64,6 @@ _PLAIN = {
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": pii.PATTERNS["iban"],
     "ssn": r"[0-9]+(-[0-9]+)+",
 }
 
@@ -73,8 +72,7 @@ def _matches(kind: str) -> str:
     return f"""
   SELECT doc_id, '{kind}' AS kind, {pii.KINDS.index(kind)} AS rank, m,
          list_sum(list_transform(list_slice(pieces, 1, i), lambda x: length(x)))
-           + coalesce(list_sum(list_transform(list_slice(found, 1, i - 1), lambda x: length(x))), 0) AS start,
-         pieces[i] AS before, pieces[i + 1] AS after
+           + coalesce(list_sum(list_transform(list_slice(found, 1, i - 1), lambda x: length(x))), 0) AS start
   FROM (SELECT doc_id, pieces, found, unnest(found) AS m, generate_subscripts(found, 1) AS i
         FROM (SELECT doc_id, regexp_extract_all(text, '{_PLAIN[kind]}') AS found,
                      string_split_regex(text, '{_PLAIN[kind]}') AS pieces FROM d))"""
@@ -83,34 +81,64 @@ def _matches(kind: str) -> str:
 _NEAR = "\n".join(f"    WHEN '{k}' THEN '(?i)({w})'" for k, w in pii.CONTEXT.items())
 _SCORE = "\n".join(f"    WHEN '{k}' THEN {s}" for k, s in pii.SCORES.items())
 
+
+def _account(text: str) -> str:
+    """Whether a text, without its spaces, is an account number that passes mod-97."""
+    code = f"replace({text}, ' ', '')"
+    return f"""(length({code}) BETWEEN 15 AND 34 AND list_reduce(
+      list_transform(string_split({code}[5:] || {code}[1:4], ''), lambda c: CAST(CASE WHEN c BETWEEN '0' AND '9'
+        THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS BIGINT)),
+      lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97, CAST(0 AS BIGINT)) = 1)"""
+
+
+_START = "[A-Z]{2}[0-9]{2}"
 _PII = rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
-), found AS ({" UNION ALL ".join(_matches(k) for k in pii.KINDS)}
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), found AS ({" UNION ALL ".join(_matches(k) for k in pii.KINDS if k != "iban")}
+), starts AS (
+  SELECT doc_id, text, list_sum(list_transform(list_slice(pieces, 1, i), lambda x: length(x))) + 4 * (i - 1) AS start
+  FROM (SELECT doc_id, text, pieces, unnest(range(1, len(pieces))) AS i
+        FROM (SELECT doc_id, text, string_split_regex(text, '{_START}') AS pieces FROM d WHERE regexp_matches(text, '{_START}')))
+), tried AS (
+  SELECT *, regexp_extract(whole, '^(?:{pii._NATIONAL})') AS short
+  FROM (SELECT *, regexp_extract(substr(text, CAST(start + 1 AS BIGINT), 64), '^{pii.PATTERNS["iban"]}') AS whole FROM starts)
+  WHERE whole <> ''
+), accounts AS (
+  SELECT doc_id, start, n, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS i
+  FROM (SELECT doc_id, start, greatest(CASE WHEN {_account("whole")} THEN length(whole) ELSE 0 END,
+                                       CASE WHEN short <> '' AND {_account("short")} THEN length(short) ELSE 0 END) AS n FROM tried)
+  WHERE n > 0
+), chain AS (  -- the leftmost ones that do not overlap
+  SELECT doc_id, i, start, n, start + n AS stop, true AS apart FROM accounts WHERE i = 1
+  UNION ALL
+  SELECT a.doc_id, a.i, a.start, a.n, CASE WHEN a.start >= c.stop THEN a.start + a.n ELSE c.stop END, a.start >= c.stop
+  FROM chain c JOIN accounts a ON a.doc_id = c.doc_id AND a.i = c.i + 1
 ), told AS (
-  SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits, replace(m, ' ', '') AS code FROM found
+  SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits FROM found
 ), confirmed AS (
-  SELECT * FROM told WHERE CASE kind
+  SELECT doc_id, kind, rank, start, length(m) AS n FROM told WHERE CASE kind
     WHEN 'email' THEN true
     WHEN 'ip' THEN len(list_filter(string_split(m, '.'),
-      lambda x: length(ltrim(x, '0')) > 3 OR (ltrim(x, '0') <> '' AND CAST(ltrim(x, '0') AS HUGEINT) > 255))) = 0
+      lambda x: length(ltrim(x, '0')) > 3 OR TRY_CAST('0' || ltrim(x, '0') AS HUGEINT) > 255)) = 0
     WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
     WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(digits)),
       lambda i: CASE WHEN i % 2 = 0 THEN CAST(digits[length(digits) - i] AS INT)
                 ELSE (2 * CAST(digits[length(digits) - i] AS INT)) % 10
                      + (2 * CAST(digits[length(digits) - i] AS INT)) // 10 END)) % 10 = 0
-    WHEN 'iban' THEN length(code) BETWEEN 15 AND 34 AND list_reduce(
-      list_transform(string_split(code[5:] || code[1:4], ''), lambda c: CAST(CASE WHEN c BETWEEN '0' AND '9'
-        THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS BIGINT)),
-      lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97, CAST(0 AS BIGINT)) = 1
     ELSE regexp_full_match(m, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}')
       AND NOT regexp_matches(m, '\A(000|666|9)|-00-|-0000\z') END
+  UNION ALL SELECT doc_id, 'iban', {pii.KINDS.index("iban")}, start, n FROM chain WHERE apart
+), around AS (
+  SELECT confirmed.*, CASE kind {_NEAR} END AS pattern,
+         substr(text, CAST(greatest(start - {pii.BEFORE}, 0) + 1 AS BIGINT), CAST(least(start, {pii.BEFORE}) AS BIGINT)) AS before,
+         substr(text, CAST(start + n + 1 AS BIGINT), {pii.AFTER}) AS after
+  FROM confirmed JOIN d USING (doc_id)
 ), scored AS (
   SELECT *, CASE kind {_SCORE} END
-    + CASE WHEN regexp_matches(right(before, {pii.BEFORE}), pattern) OR regexp_matches(left(after, {pii.AFTER}), pattern)
-      THEN {pii.CONTEXT_GAIN} ELSE 0 END AS score
-  FROM (SELECT *, CASE kind {_NEAR} END AS pattern FROM confirmed)
+    + CASE WHEN regexp_matches(before, pattern) OR regexp_matches(after, pattern) THEN {pii.CONTEXT_GAIN} ELSE 0 END AS score
+  FROM around
 ), spans AS (
-  SELECT doc_id, kind, rank, start, kind || ':' || start || ':' || (start + length(m)) AS span
+  SELECT doc_id, kind, rank, start, kind || ':' || start || ':' || (start + n) AS span
   FROM scored WHERE rank < {len(pii.BASE)} OR score >= {pii.THRESHOLD}
 ), listed AS (
   SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)},
@@ -129,38 +157,44 @@ _LEAKS = rf"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE text IS NOT NULL
 ), items AS (
-  SELECT item_id, w, len(w) AS n FROM (
+  SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k FROM (
     SELECT item_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM benchmark WHERE text IS NOT NULL)
   WHERE len(w) > 0
-), lengths AS (SELECT DISTINCT least(n, 5) AS k FROM items
 ), in_item AS (
-  SELECT item_id, n, least(n, 5) AS k, array_to_string(list_slice(w, i, i + least(n, 5) - 1), ' ') AS s, i - 1 AS place
-  FROM (SELECT item_id, w, n, unnest(range(1, n - least(n, 5) + 2)) AS i FROM items)
-), places AS (SELECT DISTINCT k, n, s, place FROM (SELECT k, n, s, item_id, min(place) AS place FROM in_item GROUP BY ALL)
+  SELECT item_id, n, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS s, i - 1 AS place
+  FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM items)
+), bags AS (SELECT item_id, n, k, s, count(*) AS times, min(place) AS place FROM in_item GROUP BY ALL
 ), in_doc AS (
-  SELECT doc_id, w, k, i - 1 AS place, array_to_string(list_slice(w, i, i + k - 1), ' ') AS s
-  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, lengths WHERE len(w) >= k)
+  SELECT doc_id, k, i - 1 AS place, array_to_string(list_slice(w, i, i + k - 1), ' ') AS s
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM words, (SELECT DISTINCT k FROM items) WHERE len(w) >= k)
+), able AS (  -- a window that is alike has that many shingles of the item, so the document has
+  SELECT doc_id, item_id, n, k FROM in_doc JOIN bags USING (k, s)
+  GROUP BY ALL HAVING 100 * count(DISTINCT in_doc.place) >= {_LIKE} * (n - k + 1)
 ), windows AS (
-  SELECT DISTINCT doc_id, in_doc.k, n, greatest(in_doc.place - places.place, 0) AS first,
-         least(in_doc.place - places.place + n, len(w)) AS last
-  FROM in_doc JOIN places ON in_doc.k = places.k AND in_doc.s = places.s
-), in_window AS (
-  SELECT doc_id, k, n, first, last, array_to_string(list_slice(w, p + 1, p + k), ' ') AS s, count(*) AS times
-  FROM (SELECT *, unnest(range(first, last - k + 1)) AS p FROM windows) JOIN words USING (doc_id)
-  GROUP BY ALL
-), item_bags AS (SELECT item_id, n, k, s, count(*) AS times FROM in_item GROUP BY ALL
-), both_ AS (
-  SELECT doc_id, item_id, v.n, v.k, first, last, sum(least(v.times, i.times)) AS shared
-  FROM in_window v JOIN item_bags i ON v.n = i.n AND v.k = i.k AND v.s = i.s
-  GROUP BY ALL
+  SELECT doc_id, item_id, n, k, start, greatest(start, 0) AS first, least(start + n, size) AS last
+  FROM (SELECT able.*, len(w) AS size, unnest(range(1 - n, len(w))) AS start FROM able JOIN words USING (doc_id))
+  WHERE least(start + n, size) - greatest(start, 0) >= k
+), shares AS (
+  SELECT v.doc_id, v.item_id, v.start, v.s, least(v.times, bags.times) AS both_
+  FROM (SELECT x.doc_id, item_id, n, x.k, start, s, count(*) AS times
+        FROM windows x JOIN in_doc y ON y.doc_id = x.doc_id AND y.k = x.k AND y.place BETWEEN x.first AND x.last - x.k
+        GROUP BY ALL) v
+  JOIN bags ON bags.item_id = v.item_id AND bags.s = v.s
 ), alike AS (
-  SELECT doc_id, item_id, first, last - first AS words, shared / (last - first - k + 1 + n - k + 1 - shared) AS similarity
-  FROM both_ WHERE {100 + _LIKE} * shared >= {_LIKE} * (last - first - k + 1 + n - k + 1)
+  SELECT windows.*, shared / (last - first - k + 1 + n - k + 1 - shared) AS similarity
+  FROM windows JOIN (SELECT doc_id, item_id, start, sum(both_) AS shared FROM shares GROUP BY ALL) USING (doc_id, item_id, start)
+  WHERE {100 + _LIKE} * shared >= {_LIKE} * (last - first - k + 1 + n - k + 1)
+), placed AS (  -- windows in which a shingle stands where an item of that length has it
+  SELECT DISTINCT doc_id, item_id, start FROM alike x JOIN in_doc y USING (doc_id, k)
+  JOIN (SELECT DISTINCT n, k, s, place AS at FROM bags) b USING (n, k, s)
+  WHERE y.place - x.start = b.at
 )
-SELECT doc_id, item_id, CAST(first AS BIGINT) AS first_word, CAST(words AS BIGINT) AS words,
+SELECT doc_id, item_id, CAST(first AS BIGINT) AS first_word, CAST(last - first AS BIGINT) AS words,
        CAST(similarity AS DOUBLE) AS similarity
-FROM alike
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, first, words DESC) = 1
+FROM alike LEFT JOIN (SELECT *, true AS here FROM placed) USING (doc_id, item_id, start)
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id
+                           ORDER BY similarity DESC, here DESC NULLS LAST, first, last - first DESC) = 1
 """
 
 _JOIN = rf"""
