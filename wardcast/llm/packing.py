@@ -20,8 +20,8 @@ from wardcast.llm.shared import Scratch
 from wardcast.llm.token_ids import word_ids
 
 CAPACITY = 2048
-#: Each length is ranked in so many tasks.
-SALTS = 128
+#: Pieces of one length that are ranked in one task, about; more are dealt to further tasks.
+RANKED = 1 << 18
 
 PIECES = "doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint"
 
@@ -210,32 +210,47 @@ def places(solution: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int,
 def pack(spark: SparkSession, items: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = None) -> DataFrame:
     """``items`` (column ``length``, doc_id and piece to order by) with sequence_id and offset.
 
-    ``items`` is written to the shared folder, since it is counted and then placed. Equal
+    ``items`` is written to the shared folder, since it is counted and then placed. Pieces of
+    full length are sequences of their own, with negative numbers, and are neither ranked nor
+    moved. Those of each other length are ranked in as many tasks as their count asks for, into which
+    they are dealt by a number stored with them, so that equal rows, however many, part as well. Equal
     rows are placed each for itself. An empty table gives an empty result.
     """
-    items = (scratch or Scratch(spark)).save("pieces", items)
-    items = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    cells = items.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
+    columns = items.columns
+    spread = F.hash("doc_id", "piece", F.monotonically_increasing_id())
+    items = (scratch or Scratch(spark)).save("pieces", items.withColumn("_spread", spread))
+    counts = dict(items.groupBy("length").count().collect())  # capacity rows at most
+    full = items.where(F.col("length") == capacity).select(
+        *columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
+    )
+    counts.pop(capacity, None)
+    if not counts:
+        return full
+    salts = spark.createDataFrame([(n, -(-c // RANKED)) for n, c in counts.items()], "length int, _salts bigint")
+    part = items.where(F.col("length") != capacity).join(F.broadcast(salts), "length")
+    part = part.withColumn("_salt", F.pmod(F.col("_spread"), F.col("_salts")).cast("int")).drop("_spread", "_salts")
+    cells = part.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     plan = spark.createDataFrame(
         places(solve(counts, capacity)),
         "length int, _from bigint, _to bigint, _per int, _sequence bigint, _offset bigint",
     )
     in_cell = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    ranked = items.withColumn("_row", F.row_number().over(in_cell) - 1).join(
-        F.broadcast(starts), ["length", "_salt"]  # at most capacity times salts rows
+    ranked = part.withColumn("_row", F.row_number().over(in_cell) - 1).join(
+        F.broadcast(starts), ["length", "_salt"]  # one row for RANKED pieces, and one for each length
     )
     ranked = ranked.withColumn("_rank", F.col("_start") + F.col("_row"))
     placed = ranked.join(F.broadcast(plan), "length").where(  # grows with the capacity only
         (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     )
     at = F.col("_rank") - F.col("_from")
-    return placed.select(
-        *[c for c in items.columns if c != "_salt"],
-        (F.col("_sequence") + F.floor(at / F.col("_per"))).cast("bigint").alias("sequence_id"),
-        (F.col("_offset") + (at % F.col("_per")) * F.col("length")).cast("bigint").alias("offset"),
+    return full.unionByName(
+        placed.select(
+            *columns,
+            (F.col("_sequence") + F.floor(at / F.col("_per"))).cast("bigint").alias("sequence_id"),
+            (F.col("_offset") + (at % F.col("_per")) * F.col("length")).cast("bigint").alias("offset"),
+        )
     )
 
 
