@@ -32,9 +32,9 @@ from wardcast.llm.shared import Scratch
 #: Percentage of the union that two sets must share.
 LIKE = 75
 SHINGLE = 5
-#: Counters of the sketch, in so many parts when they are added up. A task's own counters
-#: stop at 255, which keeps them small on their way and changes no more than the order.
-CELLS, PARTS = 1 << 23, 64
+#: Counters of the sketch, in so many parts when they are added up, and tables of counters that
+#: are added in one task. With three such steps the last one gets few, however many tasks counted.
+CELLS, PARTS, ADDED = 1 << 23, 64, 256
 #: A shingle whose counter is no higher is in so few prefixes that one task may hold them.
 LIGHT = 20_000
 #: Parity bits of a set: how many of its shingles fall on each bit, odd or even.
@@ -58,11 +58,42 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return np.minimum(8 * np.log2(counts + 1.0), 255).astype(np.uint8)
 
 
+#: Counters of one part: a byte each, and for those that do not fit their place and count.
+_COUNTS = "part int, bunch int, counts binary, places binary, more binary"
+
+
+def _counters(part: int, bunch: int, counts: np.ndarray) -> pa.RecordBatch:
+    large = np.flatnonzero(counts >= 255)
+    row = [
+        pa.array([part], pa.int32()),
+        pa.array([bunch], pa.int32()),
+        pa.array([np.minimum(counts, 255).astype(np.uint8).tobytes()], pa.binary()),
+        pa.array([large.astype(np.int32).tobytes()], pa.binary()),
+        pa.array([counts[large].astype(np.int64).tobytes()], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(row, names=["part", "bunch", "counts", "places", "more"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> tuple[int, int, np.ndarray]:
+    """(part, bunch, sums) of tables of counters."""
+    total, part, bunch = np.zeros(CELLS // PARTS, np.int64), 0, 0
+    for batch in batches:
+        part, bunch = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
+        for counts, places, more in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+            one = np.frombuffer(counts.as_py(), np.uint8).astype(np.int64)
+            one[np.frombuffer(places.as_py(), np.int32)] = np.frombuffer(more.as_py(), np.int64)
+            total += one
+    return part, bunch, total
+
+
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """The level of how often the shingles of each cell occur, counted once for a document."""
+    """The level of how often the shingles of each cell occur, counted once for a document.
+
+    The counts are true ones. They are added up in a tree: those of ``ADDED`` tasks, of as many such
+    bunches, and those that are left."""
 
     def count(batches: Iterator):
-        total = np.zeros(CELLS, np.int32)
+        total = np.zeros(CELLS, np.int64)
         for batch in batches:
             for a, b, data, starts in word_hashes.slices(batch.column(1)):
                 found, begins, _ = word_hashes.shingles(data, starts, k)
@@ -70,22 +101,21 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
                 np.add.at(total, _cells(np.concatenate(once)), 1)
         for i, part in enumerate(total.reshape(PARTS, -1)):
             if part.any():
-                counts = np.minimum(part, 255).astype(np.uint8).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([counts], pa.binary())], names=["part", "counts"])
+                yield _counters(i, 0, part)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _counters(*_added(batches))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums as levels, so that the sketch is a byte for each cell."""
-        total, part = np.zeros(CELLS // PARTS, np.int32), None
-        for batch in batches:
-            part = batch.column(0)[0].as_py()
-            for x in batch.column(1):
-                total += np.frombuffer(x.as_py(), np.uint8)
+        part, _, total = _added(batches)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_level(total).tobytes()], pa.binary())], names=["part", "counts"])
 
-    form = "part int, counts binary"
-    parts = docs.mapInArrow(count, form).groupBy("part").applyInArrow(add, form)
+    parts = docs.mapInArrow(count, _COUNTS).withColumn("bunch", F.spark_partition_id())
+    for _ in range(2):
+        parts = parts.withColumn("bunch", F.floor(F.col("bunch") / ADDED).cast("int")).groupBy("part", "bunch").applyInArrow(add, _COUNTS)
     out = np.zeros((PARTS, CELLS // PARTS), np.uint8)
-    for r in parts.collect():  # the sketch: of one size, however many documents
+    for r in parts.groupBy("part").applyInArrow(finish, "part int, counts binary").collect():  # of one size, however many documents
         out[r["part"]] = np.frombuffer(r["counts"], np.uint8)
     return out.reshape(-1)
 
