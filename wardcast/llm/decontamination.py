@@ -112,6 +112,22 @@ def _in_blocks(df: DataFrame, *columns: str) -> DataFrame:
     return df.select("*", F.explode(F.array(*each)).alias("b")).select(*columns, "print", "b.block", "b.value")
 
 
+def _spots(body: DataFrame, k: int) -> DataFrame:
+    """Each place of a text with the hash of its shingle."""
+    # The outer form keeps the words from being made a second time to see that there are some.
+    spots = body.select("*", F.explode_outer(F.when(F.col("size") >= k, F.expr(f"sequence(0, size - {k})"))).alias("spot"))
+    return spots.select("*", F.xxhash64(*[F.get("words", F.col("spot") + j) for j in range(k)]).alias("hash"))
+
+
+def _met_by_row(body: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """The places of texts that meet a shingle of the items, where these are too many to
+    broadcast: hashes alone are shuffled, a text's places come back to it in one row, and only then
+    its words are beside them."""
+    thin = _spots(body, k).where("spot is not null").select("row", "spot", "hash")
+    met = thin.join(places, "hash").groupBy("row").agg(F.collect_list(F.struct("spot", "n", "at")).alias("met"))
+    return body.join(met, "row").select("doc_id", "words", "size", F.inline("met"))
+
+
 def _leaks(docs: DataFrame, bench: DataFrame, doc_id: str, text: str, k: int, scratch: Scratch) -> DataFrame:
     bench = bench.select("item_id", "item", "n", _shingles(F.col("words"), F.col("n"), k).alias("hashes"))
     bench = bench.select("*", F.sort_array("hashes").alias("sorted"))
@@ -125,20 +141,20 @@ def _leaks(docs: DataFrame, bench: DataFrame, doc_id: str, text: str, k: int, sc
         .groupBy("hash", "n")
         .agg(F.collect_set("at").alias("at"))
     )
-    places = sized(scratch.save("places", places))
+    places = scratch.save("places", places)
     body = docs.select(F.col(doc_id).alias("doc_id"), _words(F.col(text)).alias("words"))
     body = body.select("*", F.size("words").alias("size"))
-    # The outer form keeps the words from being made a second time to see that there are some.
-    spots = body.select("*", F.explode_outer(F.when(F.col("size") >= k, F.expr(f"sequence(0, size - {k})"))).alias("spot"))
-    spots = spots.select("*", F.xxhash64(*[F.get("words", F.col("spot") + j) for j in range(k)]).alias("hash"))
+    if places.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        met = _spots(body, k).join(F.broadcast(places), "hash")
+    else:
+        met = _met_by_row(scratch.save("body", body.select("*", F.monotonically_increasing_id().alias("row"))), places, k)
     # A stretch has 2n words from a multiple of n on and holds the windows that start in its
     # first half, the first one also those cut by the start of the text. The windows over a
     # shingle start in two halves at most.
     half = lambda start: F.floor(F.greatest(start, F.lit(0)) / F.col("n")).cast("int")
     halves = F.array_distinct(F.array(half(F.col("spot") - F.col("n") + k), half(F.col("spot"))))
     stretches = (
-        spots.join(places, "hash")
-        .where("spot is not null")
+        met.where("spot is not null")
         .select("doc_id", "n", "size", "words", "spot", "at", F.explode(halves).alias("half"))
         .select("doc_id", "n", "spot", "at", "size", "words", (F.col("half") * F.col("n")).alias("from"))
         .select(
