@@ -25,12 +25,15 @@ from wardcast.llm import (
 )
 from wardcast.llm.shared import table
 
-#: Folder with the vocabularies; pass another to the operators where they lie elsewhere.
-TOKENIZERS = "/opt/tokenizers"
 SHARDS = 24
 
 
-def vocabulary(name: str, folder: str = TOKENIZERS) -> str:
+def vocabulary(name: str, folder: str | None = None) -> str:
+    """Where a public tokenizer's file lies: in the folder, else where its package has it."""
+    if folder is None:
+        import public_tokenizers
+
+        return str(public_tokenizers.path(name))
     return str(Path(folder) / name)
 
 

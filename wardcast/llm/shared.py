@@ -25,13 +25,16 @@ if _ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and os.getcwd
 class Scratch:
     """Intermediate tables of one run, in a folder that all executors share.
 
-    The folder is ``folder``, else the session's ``spark.checkpoint.dir``, else the
-    session's warehouse. Each run writes below a name of its own. The result of an operator
-    reads these tables, so the caller removes the folder when the result is stored.
+    The folder is ``folder``, else the session's ``spark.checkpoint.dir``; there is no other
+    choice, since a folder of one machine would be lost to the others. Each run writes below a
+    name of its own. The result of an operator reads these tables, so the caller closes the scratch,
+    or leaves its ``with`` block, when the result is stored.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
-        folder = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("pass a folder that all executors share, or set spark.checkpoint.dir to one")
         self.spark = spark
         self.root = f"{folder.rstrip('/')}/corpus-{uuid.uuid4().hex}"
 
@@ -40,6 +43,17 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def close(self) -> None:
+        """Removes the tables."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
