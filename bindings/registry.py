@@ -30,6 +30,7 @@ from wardcast.plans.forecast import Forecast
 from wardcast.plans.history import CensusHistory, StayHistory
 from wardcast.plans.staging import Lazy
 from wardcast.sources.sink import read_forecast, write_forecast
+from wardcast.sources.tables import SourceTables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 BUILDS: dict[str, Callable[[Forecast], DataFrame]] = {}
@@ -81,6 +82,24 @@ def _(f):
     )
 
 
+@query(
+    "q02b_stored_calendar",
+    f"""SELECT c.day_date, c.dow AS dow_adjusted, b.n_days AS lookback_days,
+               CAST(date_diff('day', {AS_OF}, c.day_date) + 1 AS INTEGER) AS day_num
+        FROM kept_days c JOIN (
+            SELECT dow, count(*) AS n_days FROM kept_days WHERE day_date >= {BACK} AND day_date < {AS_OF} GROUP BY dow) b
+          ON b.dow = c.dow""",
+)
+def _(f):
+    # A calendar table with flags of its own, made of the days on which somebody was admitted.
+    days = f.tables["encounter"].groupBy(F.to_date("admit_ts").alias("day_date")).agg(
+        F.when(F.count("*") % 5 == 0, 0).otherwise(1).alias("workday"),
+        F.when(F.min("csn") % 7 == 0, 1).otherwise(0).alias("holiday"),
+    )
+    tables = SourceTables(f.tables.spark, lambda name: days if name == "calendar" else f.tables[name])
+    return Forecast(tables, f.cfg, Lazy()).calendar
+
+
 @query(
     "q03_lookback_days",
     f"""SELECT c.dow AS dow_adjusted, b.n_days AS lookback_days, count(*) AS admissions
