@@ -18,7 +18,9 @@ LEAF = 32
 #: How far before an edit a pre-token may have looked ahead: the pattern sees two characters
 #: past the end of a match ("'" before "re").
 LOOK = 3
-MOST_KNOWN = 500_000
+#: Bytes of pre-tokens whose counts a worker keeps, about; beyond that the table starts anew. Each
+#: takes its characters and so many bytes more.
+MOST_KNOWN, EACH = 32 << 20, 160
 
 TREES = "doc_id bigint, text string, lengths binary, counts binary"
 EDITS = "array<struct<start:bigint,end:bigint,replacement:string>>"
@@ -44,6 +46,7 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._encode = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known: dict[str, int] = {}
+        self._bytes = 0
 
     def split(self, text: str) -> list[str]:
         return self.pattern.findall(text)
@@ -51,9 +54,14 @@ class Encoder:
     def count(self, piece: str) -> int:
         n = self._known.get(piece)
         if n is None:
-            if len(self._known) >= MOST_KNOWN:
+            n = len(self._encode(piece))
+            size = EACH + 4 * len(piece)
+            if self._bytes + size > MOST_KNOWN:
                 self._known.clear()
-            n = self._known[piece] = len(self._encode(piece))
+                self._bytes = 0
+            if size <= MOST_KNOWN:
+                self._known[piece] = n
+                self._bytes += size
         return n
 
 
