@@ -56,10 +56,10 @@ class Encoder:
         if n is None:
             n = len(self._encode(piece))
             size = EACH + 4 * len(piece)
-            if self._bytes + size > MOST_KNOWN:
-                self._known.clear()
-                self._bytes = 0
             if size <= MOST_KNOWN:
+                if self._bytes + size > MOST_KNOWN:
+                    self._known.clear()
+                    self._bytes = 0
                 self._known[piece] = n
                 self._bytes += size
         return n
