@@ -3,6 +3,7 @@ that hold more rows than a task should."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ MOST_ROWS = 1_000_000
 
 #: Words of 64 bits in a block of the filter, bits of a key in its block, bits kept per key.
 _WORDS, _MARKS, _BITS_PER_KEY = 1024, 3, 8
+#: Standard error of the sketch that counts keys.
+_SKETCH_ERROR = 0.02
 _PART = "_part"
 #: A table that Spark takes to be smaller has no key worth splitting, whatever its rows.
 _SMALL_BYTES = 64 << 20
@@ -28,35 +31,47 @@ def _is_small(df: DataFrame) -> bool:
 
 @dataclass(frozen=True)
 class KeySet:
-    """Keys of one column, none null, and a number they do not exceed if it is known."""
+    """Keys of one column, none null, and a number they do not exceed, by all odds, if it is known."""
 
     keys: DataFrame
     number: int | None = None
+    blocks: DataFrame | None = None
 
     @classmethod
-    def of(cls, rows: DataFrame, key: str, stored: bool) -> KeySet:
+    def of(cls, rows: DataFrame, key: str, stored: bool, keep: Callable[[DataFrame], DataFrame] | None = None) -> KeySet:
         """The keys that ``rows`` have; counted if these are ``stored``: the rows, which their
-        files tell, and the keys themselves only if there are too many rows to know by that."""
+        files tell, and the keys themselves, by a sketch that shuffles none of them, only if there are
+        too many rows to know by that. ``keep`` stores the filter of many keys, for more than one use."""
         keys = rows.select(key).where(F.col(key).isNotNull())
         if not stored:
             return cls(keys)
-        keys, number = keys.distinct(), rows.count()
-        return cls(keys, keys.count() if number > MOST_KEYS else number)
+        number = rows.count()
+        if number > MOST_KEYS:
+            about = keys.agg(F.approx_count_distinct(key, _SKETCH_ERROR)).first()[0]
+            number = min(number, int(about * (1 + 4 * _SKETCH_ERROR)) + 1)
+        is_filter = MOST_KEYS < number <= MOST_FILTERED
+        return cls(keys, number, keep(key_filter(keys, key, number)) if keep and is_filter else None)
 
     def reduce(self, df: DataFrame, column: str) -> DataFrame:
         """``df`` without rows whose key a later join by key would drop anyway.
 
         Few keys are broadcast, so that nothing of the rest leaves its task. Many are
-        broadcast as a filter, which lets about 3 % of the others pass. With more than that, or if they
-        were not counted, it is a shuffled join, broadcast only if Spark finds it small. Rows with a null key go.
+        broadcast as a filter, which lets about 3 % of the others pass. Both are semi-joins, which Spark
+        puts below the groups, unions and joins that ``df`` is made by, ahead of their shuffles, where
+        the key allows. With more than that, or if they were not counted, it is a shuffled join,
+        broadcast only if Spark finds it small. Rows with a null key go.
         """
         (key,) = self.keys.columns
         keys = self.keys.select(F.col(key).alias(column))
-        if self.number is None or self.number > MOST_FILTERED:
+        # Equal keys of other types have other hashes, which the join's own casts do not see.
+        as_join = df.schema[column].dataType != keys.schema[column].dataType
+        if self.number is None or self.number > (MOST_KEYS if as_join else MOST_FILTERED):
             return df.join(keys, column, "left_semi")
         if self.number <= MOST_KEYS:
-            return df.join(F.broadcast(keys), column, "left_semi")
-        return passing(df, column, key_filter(keys, column, self.number), self.number)
+            return df.join(F.broadcast(keys.distinct()), column, "left_semi")
+        known = key_filter(keys, column, self.number) if self.blocks is None else self.blocks
+        blocks, held = _held(column, known, self.number)
+        return df.where(F.col(column).isNotNull()).join(blocks, held, "left_semi")
 
 
 def _blocks(number: int) -> int:
@@ -68,9 +83,13 @@ def _bit(mark: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), mark.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def _marks(key: Column) -> Column:
+def _hashed(key: Column) -> Column:
+    """What the bits of a key within its block are cut from."""
+    return F.xxhash64(key, F.lit(1)).bitwiseAND(F.lit((1 << 16 * _MARKS) - 1))
+
+
+def _marks(hashed: Column) -> Column:
     """The bits of a key within its block."""
-    hashed = F.xxhash64(key, F.lit(1))
     return F.array(*[F.shiftrightunsigned(hashed, 16 * i).bitwiseAND(F.lit(64 * _WORDS - 1)) for i in range(_MARKS)])
 
 
@@ -80,29 +99,45 @@ def _block(key: Column, number: int) -> Column:
 
 def key_filter(keys: DataFrame, key: str, number: int) -> DataFrame:
     """A Bloom filter in blocks, ``(block, words)``, over about ``number`` keys: a key sets three
-    bits of one block of 65,536, which has a row of its own."""
-    marked = keys.select(_block(F.col(key), number).alias("block"), F.explode(_marks(F.col(key))).alias("mark"))
-    marked = marked.select("block", F.shiftright("mark", 6).alias("word"), _bit(F.col("mark")).alias("bits"))
-    place = F.col("id")
-    empty = keys.sparkSession.range(_blocks(number) * _WORDS).select(
-        F.floor(place / _WORDS).alias("block"), (place % _WORDS).alias("word"), F.lit(0).cast("bigint").alias("bits")
+    bits of one block of 65,536, which has a row of its own.
+
+    Only a hash of each key is shuffled, once a task, to its block; the words are made there. A block that no
+    key is in has no row.
+    """
+    hashes = keys.select(_block(F.col(key), number).alias("block"), _hashed(F.col(key)).alias("_hash"))
+    blocks = hashes.groupBy("block").agg(F.collect_set("_hash").alias("_hashes"))
+
+    def set_bit(word: Column, bits: Column) -> Column:
+        return F.struct(word.cast("int").alias("word"), bits.alias("bits"))
+
+    none = F.transform(F.sequence(F.lit(0), F.lit(_WORDS - 1)), lambda w: set_bit(w, F.lit(0).cast("bigint")))
+    marks = F.flatten(F.transform("_hashes", lambda h: _marks(h)))
+    marked = F.transform(marks, lambda m: set_bit(F.shiftright(m, 6), _bit(m)))
+    words = (
+        blocks.select("block", F.inline(F.concat(none, marked)))
+        .groupBy("block", "word")
+        .agg(F.bit_or("bits").alias("bits"))
     )
-    words = marked.unionByName(empty).groupBy("block", "word").agg(F.bit_or("bits").alias("bits"))
     in_order = F.array_sort(F.collect_list(F.struct("word", "bits")))
     return words.groupBy("block").agg(F.transform(in_order, lambda w: w["bits"]).alias("words"))
 
 
-def passing(df: DataFrame, column: str, known: DataFrame, number: int) -> DataFrame:
-    """Rows whose key the filter may hold: all that it holds, and few others. The filter is broadcast, a byte
-    for each of its keys."""
+def _held(column: str, known: DataFrame, number: int) -> tuple[DataFrame, Column]:
+    """The filter's blocks for a broadcast, and whether they may hold the key in ``column``."""
     words = F.col("_words")
     has = F.forall(
-        _marks(F.col(column)),
+        _marks(_hashed(F.col(column))),
         lambda m: F.get(words, F.shiftright(m, 6).cast("int")).bitwiseAND(_bit(m)) != 0,
     )
     blocks = F.broadcast(known.select(F.col("block").alias("_block"), F.col("words").alias("_words")))
-    met = df.where(F.col(column).isNotNull()).withColumn("_block", _block(F.col(column), number)).join(blocks, "_block")
-    return met.where(has).select(*df.columns)
+    return blocks, (_block(F.col(column), number) == F.col("_block")) & has
+
+
+def passing(df: DataFrame, column: str, known: DataFrame, number: int) -> DataFrame:
+    """Rows whose key the filter may hold: all that it holds, and few others. The filter is broadcast, a byte
+    for each of its keys."""
+    blocks, held = _held(column, known, number)
+    return df.where(F.col(column).isNotNull()).join(blocks, held).select(*df.columns)
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardcast.config import ForecastConfig
 from wardcast.functions.dates import midnights, open_or_since
 from wardcast.functions.text import has_service_code, service_group
+from wardcast.plans.staging import Lazy
 from wardcast.sources.tables import SourceTables
 
 
@@ -21,15 +22,19 @@ def service_groups(service_code: DataFrame) -> DataFrame:
     )
 
 
-def encounters(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
+def encounters(tables: SourceTables, cfg: ForecastConfig, stage=Lazy()) -> DataFrame:
     """Confirmed inpatient encounters that ended within the history or are open.
 
     Every filter is on the encounter scan itself; department, unit group and
-    service are lookups, joined in whichever way their measured size allows.
+    service are lookups, joined in whichever way their measured size allows. The units are a join
+    themselves, whose size Spark overestimates; stored, they are known to be small from the start, so that
+    the encounters are not shuffled for them.
     """
     codes = cfg.codes
     inpatient = tables["unit_group"].where(F.col("unit_group_name").isNotNull()).select("unit_group_c")
-    units = tables["department"].join(inpatient, "unit_group_c").select("department_id", "department_name")
+    units = stage(
+        "units", tables["department"].join(inpatient, "unit_group_c").select("department_id", "department_name")
+    )
     services = service_groups(tables["service_code"]).select("service_c", "service_name", "service_group")
     return (
         tables["encounter"]

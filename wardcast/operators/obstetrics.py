@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardcast.config import ForecastConfig
 from wardcast.functions.dates import forecast_day
-from wardcast.functions.keys import Split
+from wardcast.functions.keys import KeySet, Split
 from wardcast.functions.text import label
 from wardcast.plans.staging import Lazy
 from wardcast.sources.tables import SourceTables
@@ -20,18 +20,34 @@ def prior_contacts(tables: SourceTables, cfg: ForecastConfig, stage=Lazy()) -> D
 
     Due dates are collapsed per contact before they meet the contacts, so every
     join adds columns to a contact and none multiplies it. What is known of an episode is
-    one row before the links meet it, in one join; an episode with very many links is split
-    if ``stage`` stores results.
+    one row before the links meet it, in one join. If ``stage`` stores results, the kept contacts
+    reduce the links and those the episodes before any of them is shuffled, and an episode with very
+    many links is split.
     """
     codes = cfg.codes
+    own_departments = tables["department"].where(F.col("service_area") == codes.service_area)
+    high_risk = F.when(F.col("provider_name").contains(codes.high_risk_marker), codes.high_risk_marker)
+    kept = (
+        tables["contact"]
+        .where(F.col("appt_status_c").isin(*codes.kept_appointment))
+        .where(F.col("contact_ts").between(F.lit(cfg.hist_start), F.lit(cfg.as_of)))
+        .join(own_departments, "department_id", "left_semi")
+        .join(tables["appt_status"], "appt_status_c")
+        .join(tables["provider"], "provider_id")
+        .select("csn", "contact_ts", "pat_id", "appt_status", high_risk.alias("high_risk"))
+    )
+    due, episodes, links = tables["due_date"], tables["episode"], tables["episode_link"]
+    if stage.stores:
+        kept = stage("kept_contacts", kept)
+        links = stage("kept_links", KeySet.of(kept, "csn", stored=True).reduce(links, "csn"))
+        linked = KeySet.of(links, "episode_id", True, lambda blocks: stage("episode_filter", blocks))
+        due, episodes = linked.reduce(due, "episode_id"), linked.reduce(episodes, "episode_id")
     due = (
-        tables["due_date"]
-        .where(F.col("is_working") == codes.working_due_date)
+        due.where(F.col("is_working") == codes.working_due_date)
         .groupBy("episode_id")
         .agg(F.max("due_user_ts").alias("due_user_ts"), F.max("due_system_ts").alias("due_system_ts"))
-        .join(tables["episode"], "episode_id", "left_semi")
+        .join(episodes, "episode_id", "left_semi")
     )
-    links = tables["episode_link"]
     split = Split.of(links, "episode_id", stage, "heavy_episodes")
     due_by_contact = (
         split.many(links)
@@ -39,25 +55,14 @@ def prior_contacts(tables: SourceTables, cfg: ForecastConfig, stage=Lazy()) -> D
         .groupBy("csn")
         .agg(F.max("due_user_ts").alias("due_user_ts"), F.max("due_system_ts").alias("due_system_ts"))
     )
-    own_departments = tables["department"].where(F.col("service_area") == codes.service_area)
-    high_risk = F.when(F.col("provider_name").contains(codes.high_risk_marker), codes.high_risk_marker)
-    return (
-        tables["contact"]
-        .where(F.col("appt_status_c").isin(*codes.kept_appointment))
-        .where(F.col("contact_ts").between(F.lit(cfg.hist_start), F.lit(cfg.as_of)))
-        .join(own_departments, "department_id", "left_semi")
-        .join(tables["appt_status"], "appt_status_c")
-        .join(tables["provider"], "provider_id")
-        .join(due_by_contact, "csn")
-        .select(
-            "csn",
-            "contact_ts",
-            "pat_id",
-            F.coalesce("due_user_ts", "due_system_ts").alias("due_ts"),
-            "appt_status",
-            F.lit(codes.working_due_date).alias("is_working"),
-            high_risk.alias("high_risk"),
-        )
+    return kept.join(due_by_contact, "csn").select(
+        "csn",
+        "contact_ts",
+        "pat_id",
+        F.coalesce("due_user_ts", "due_system_ts").alias("due_ts"),
+        "appt_status",
+        F.lit(codes.working_due_date).alias("is_working"),
+        "high_risk",
     )
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from wardcast.config import ForecastConfig
 from wardcast.functions.dates import forecast_day, within
+from wardcast.functions.keys import KeySet
 from wardcast.functions.text import label
+from wardcast.plans.staging import Lazy
 from wardcast.sources.tables import SourceTables
 
 
@@ -36,12 +38,14 @@ def _procedures(tables: SourceTables) -> DataFrame:
     return tables["procedure"].withColumnRenamed("procedure_name", "primary_procedure")
 
 
-def performed_surgeries(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
+def performed_surgeries(tables: SourceTables, cfg: ForecastConfig, stage=Lazy()) -> DataFrame:
     """Performed surgeries that were booked before the patient was admitted.
 
     Log, detail and link share the log id. The encounter is joined before the
     booking contact: ranking per encounter then needs a shuffle of its own, and
-    the rows of an encounter with very many surgeries are cut down ahead of it.
+    the rows of an encounter with very many surgeries are cut down ahead of it. Where results are
+    stored, the performed logs reduce details and links, and the surgeries they make reduce encounters and
+    contacts, before any of those is shuffled.
     """
     codes = cfg.codes
     performed = tables["surgery_status"].where(F.col("status_name").isin(*codes.performed_status))
@@ -53,16 +57,31 @@ def performed_surgeries(tables: SourceTables, cfg: ForecastConfig) -> DataFrame:
     )
     booked = tables["contact"].select(F.col("csn").alias("contact_csn"), "entry_ts")
     links = tables["admission_link"].withColumnRenamed("case_id", "log_id")
-    return (
+    details = tables["surgery_log_detail"]
+    logs = (
         tables["surgery_log"]
         .where(F.col("not_performed_c").isNull())
         .where(F.col("surgery_ts") >= F.lit(cfg.hist_start))
         .join(performed, "status_c")
         .join(_operating_locations(tables, cfg), "location_id")
-        .join(tables["surgery_log_detail"], "log_id")
+        .select("log_id", "surgery_ts", "surgical_location")
+    )
+    if stage.stores:
+        logs = stage("performed_logs", logs)
+        wanted = KeySet.of(logs, "log_id", True, lambda blocks: stage("log_filter", blocks))
+        details, links = wanted.reduce(details, "log_id"), wanted.reduce(links, "log_id")
+    surgeries = (
+        logs.join(details, "log_id")
         .join(links, "log_id")
-        .join(_procedures(tables), "procedure_id")
         .withColumn("csn", F.coalesce("admission_csn", "contact_csn"))
+        .drop("admission_csn")
+    )
+    if stage.stores:
+        surgeries = stage("performed_surgeries", surgeries)
+        admitted = KeySet.of(surgeries, "csn", stored=True).reduce(admitted, "csn")
+        booked = KeySet.of(surgeries, "contact_csn", stored=True).reduce(booked, "contact_csn")
+    return (
+        surgeries.join(_procedures(tables), "procedure_id")
         .join(admitted, "csn")
         .join(booked, "contact_csn")
         .where(F.col("entry_ts") < F.col("admit_ts"))
@@ -98,13 +117,14 @@ def surgical_cohort(
 
 
 def scheduled_cases(
-    tables: SourceTables, current: DataFrame, due: DataFrame, cfg: ForecastConfig
+    tables: SourceTables, current: DataFrame, due: DataFrame, cfg: ForecastConfig, stage=Lazy()
 ) -> DataFrame:
     """First case on the surgery schedule of each patient not yet admitted.
 
     The first case is taken over all cases since the start of the history, so an
     old case that was never linked to an admission hides later ones, unless
-    ``rank_future_only`` is set.
+    ``rank_future_only`` is set. Where results are stored, the open cases reduce procedures and links, and
+    with their links contacts and encounters, before any of those is shuffled.
     """
     codes = cfg.codes
     primary = (
@@ -114,6 +134,7 @@ def scheduled_cases(
     admitted = tables["encounter"].select("csn", F.col("admit_ts").alias("case_admit_ts"))
     excluded = current.select("pat_id").union(due.select("pat_id")).distinct()
     first_day = cfg.as_of if cfg.rank_future_only else cfg.hist_start
+    links = tables["admission_link"]
     cases = (
         tables["surgery_case"]
         .where(F.col("surgery_ts").between(F.lit(first_day), F.lit(cfg.short_end)))
@@ -121,11 +142,23 @@ def scheduled_cases(
         .where(F.col("pat_class_c") != codes.outpatient_class)
         .join(_operating_locations(tables, cfg), "location_id")
         .join(excluded, "pat_id", "left_anti")
-        .join(primary, "case_id")
-        .join(tables["admission_link"], "case_id", "left")
+    )
+    if stage.stores:
+        cases = stage("open_cases", cases.select("case_id", "pat_id", "log_id", "surgery_ts", "surgical_location"))
+        wanted = KeySet.of(cases, "case_id", True, lambda blocks: stage("case_filter", blocks))
+        primary, links = wanted.reduce(primary, "case_id"), wanted.reduce(links, "case_id")
+    cases = (
+        cases.join(primary, "case_id")
+        .join(links, "case_id", "left")
         .join(_procedures(tables), "procedure_id")
-        .join(booked, "contact_csn", "left")
         .withColumn("csn", F.coalesce("admission_csn", "contact_csn"))
+    )
+    if stage.stores:
+        cases = stage("linked_cases", cases)
+        booked = KeySet.of(cases, "contact_csn", stored=True).reduce(booked, "contact_csn")
+        admitted = KeySet.of(cases, "csn", stored=True).reduce(admitted, "csn")
+    cases = (
+        cases.join(booked, "contact_csn", "left")
         .join(admitted, "csn", "left")
         .where(F.col("case_admit_ts").isNull() | (F.col("case_admit_ts") >= F.lit(cfg.as_of)))
     )

@@ -17,8 +17,8 @@ def transfer_requests(tables: SourceTables, cfg: ForecastConfig, stage=Lazy()) -
     """Completed requests with type labels and the direct-admission flag.
 
     One row per request and intake encounter; equal intake rows are counted in
-    ``copies`` before they meet the request. A request with very many intake encounters is
-    split if ``stage`` stores results.
+    ``copies`` before they meet the request. If ``stage`` stores results, the requests reduce the intake
+    rows before these are shuffled, and a request with very many intake encounters is split.
     """
     codes = cfg.codes
     completed = (
@@ -26,14 +26,14 @@ def transfer_requests(tables: SourceTables, cfg: ForecastConfig, stage=Lazy()) -
         .where(F.col("status_c") == codes.request_completed)
         .where(F.col("region_id") == codes.transfer_region)
     )
-    intake = (
-        tables["attachment"]
-        .where(F.col("attachment_c") == codes.intake_attachment)
-        .groupBy("comm_id", F.col("csn").alias("intake_csn"))
-        .agg(F.count("*").alias("copies"))
-    )
+    taken_in = tables["attachment"].where(F.col("attachment_c") == codes.intake_attachment).select("comm_id", "csn")
     direct = F.when(F.col("topic_c") == codes.direct_admit_topic, 1).otherwise(0)
     requests = tables["request"].where(F.col("origin_c") == codes.transfer_origin).join(completed, "comm_id")
+    if stage.stores:
+        requests = stage("completed_requests", requests.select("comm_id", "entry_ts", "topic_c", "status_c", "transfer_type_c"))
+        taken_in = KeySet.of(requests, "comm_id", stored=True).reduce(taken_in, "comm_id")
+    intake = taken_in.groupBy("comm_id", F.col("csn").alias("intake_csn")).agg(F.count("*").alias("copies"))
+    intake = stage("intake", intake)
     return (
         Split.of(intake, "comm_id", stage, "heavy_requests")
         .left_join_many(requests, intake)
@@ -120,17 +120,22 @@ def transfer_destinations(tables: SourceTables, cfg: ForecastConfig, stage=Lazy(
     """
     codes = cfg.codes
     own = tables["request"].where(F.col("origin_c") == codes.transfer_origin).select("comm_id")
-    details = tables["request_detail"].join(own, "comm_id", "left_semi").select(
-        "comm_id", F.col("status_c").alias("request_status_c"), "region_id"
-    )
+    details = tables["request_detail"].select("comm_id", F.col("status_c").alias("request_status_c"), "region_id")
     named = (
         tables["attachment"]
         .where(F.col("attachment_c") == codes.target_attachment)
         .select("comm_id", F.col("target_comm_id").alias("destination_id"), "reason_c")
     )
+    if stage.stores:
+        own = stage("own_requests", own)
+        asked = KeySet.of(own, "comm_id", True, lambda blocks: stage("own_filter", blocks))
+        details, named = asked.reduce(details, "comm_id"), asked.reduce(named, "comm_id")
+    details = details.join(own, "comm_id", "left_semi")
     targets = stage("targets", named.join(details, "comm_id"))
     # In one unstored plan the ids come from the scan alone, so nothing before it runs twice.
-    wanted = KeySet.of(targets if stage.stores else named, "destination_id", stage.stores)
+    wanted = KeySet.of(
+        targets if stage.stores else named, "destination_id", stage.stores, lambda blocks: stage("wanted_filter", blocks)
+    )
     destination_details = tables["request_detail"].select(
         F.col("comm_id").alias("destination_id"), F.col("status_c").alias("destination_status_c")
     )
@@ -145,6 +150,7 @@ def transfer_destinations(tables: SourceTables, cfg: ForecastConfig, stage=Lazy(
     )
     encounter = tables["encounter"].select("csn", "admit_conf_c", "patient_stat_c")
     if stage.stores:
+        destination_details = wanted.reduce(destination_details, "destination_id")
         encounter = KeySet.of(attached, "destination_csn", stored=True).reduce(encounter, "csn")
     split = Split.of(targets, "destination_id", stage, "heavy_destinations")
     met = split.many(targets)

@@ -103,7 +103,7 @@ class Forecast:
 
     @cached_property
     def encounters(self) -> DataFrame:
-        return self.stage("encounters", encounters.encounters(self.tables, self.cfg), by="csn")
+        return self.stage("encounters", encounters.encounters(self.tables, self.cfg, self.stage), by="csn")
 
     @cached_property
     def patient_status(self) -> DataFrame:
@@ -124,7 +124,7 @@ class Forecast:
 
     @cached_property
     def first_surgeries(self) -> DataFrame:
-        return surgery.first_procedure(surgery.performed_surgeries(self.tables, self.cfg))
+        return surgery.first_procedure(surgery.performed_surgeries(self.tables, self.cfg, self.stage))
 
     @cached_property
     def transfers(self) -> DataFrame:
@@ -143,7 +143,7 @@ class Forecast:
                 self.newborns,
                 self.first_surgeries,
                 self.transfers,
-                emergency.emergency_admissions(self.tables, self.cfg),
+                emergency.emergency_admissions(self.tables, self.cfg, self.stage),
                 emergency.acuity_labels(self.tables["acuity"]),
                 self.cfg,
             ),
@@ -219,7 +219,7 @@ class Forecast:
 
     @cached_property
     def expected_surgeries(self) -> DataFrame:
-        cases = surgery.scheduled_cases(self.tables, self.current, self.due, self.cfg)
+        cases = surgery.scheduled_cases(self.tables, self.current, self.due, self.cfg, self.stage)
         return surgery.scheduled_arrivals(cases, self.cfg)
 
     @cached_property
