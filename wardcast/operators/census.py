@@ -69,6 +69,10 @@ def tagged_census(moves: DataFrame, tags: DataFrame, stage=Lazy(), weight: str |
 def midnight_census(
     tables: SourceTables, days: DataFrame, tags: DataFrame, cfg: ForecastConfig, stage=Lazy()
 ) -> DataFrame:
-    """The census of the whole history, one row for each movement and label set."""
+    """The census of the whole history, one row for each movement and label set.
+
+    Movements are stored if ``stage`` does so: they are counted and joined, which would make them twice.
+    """
     last = cfg.last_census_day - timedelta(days=1)
-    return tagged_census(census_moves(tables, days, cfg.usable_start, last, cfg), tags, stage)
+    moves = stage("moves", census_moves(tables, days, cfg.usable_start, last, cfg))
+    return tagged_census(moves, tags, stage)
