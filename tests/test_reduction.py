@@ -89,3 +89,13 @@ def test_movements_are_made_once(spark, stage):
     f = Forecast(source_tables(spark, DATA), CONFIG, stage)
     scans = [p for p in f.history.inputFiles() if "/moves/" in p]
     assert scans and not any("lineitem" in p for p in f.history.inputFiles())
+
+
+def test_bookings_are_made_once_for_surgeries_and_schedule(spark, stage):
+    f = Forecast(source_tables(spark, DATA), CONFIG, stage)
+    _ = f.bookings
+    for df in (f.first_surgeries, f.expected_surgeries):
+        assert any("/bookings/" in p for p in df.inputFiles())
+    alone = Forecast(source_tables(spark, DATA), CONFIG, Lazy())
+    assert rows(f.expected_surgeries) == rows(alone.expected_surgeries)
+    assert rows(f.first_surgeries) == rows(alone.first_surgeries)

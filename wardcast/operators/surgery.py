@@ -38,7 +38,15 @@ def _procedures(tables: SourceTables) -> DataFrame:
     return tables["procedure"].withColumnRenamed("procedure_name", "primary_procedure")
 
 
-def performed_surgeries(tables: SourceTables, cfg: ForecastConfig, stage=Lazy()) -> DataFrame:
+def _booked(tables: SourceTables, contacts: DataFrame | None) -> DataFrame:
+    """When contacts were entered, of the given rows if they are stored."""
+    contacts = tables["contact"] if contacts is None else contacts
+    return contacts.select(F.col("csn").alias("contact_csn"), "entry_ts")
+
+
+def performed_surgeries(
+    tables: SourceTables, cfg: ForecastConfig, stage=Lazy(), contacts: DataFrame | None = None
+) -> DataFrame:
     """Performed surgeries that were booked before the patient was admitted.
 
     Log, detail and link share the log id. The encounter is joined before the
@@ -55,7 +63,7 @@ def performed_surgeries(tables: SourceTables, cfg: ForecastConfig, stage=Lazy())
         .where(F.col("patient_stat_c").isin(*codes.admitted_or_discharged))
         .select("csn", "admit_ts")
     )
-    booked = tables["contact"].select(F.col("csn").alias("contact_csn"), "entry_ts")
+    booked = _booked(tables, contacts)
     links = tables["admission_link"].withColumnRenamed("case_id", "log_id")
     details = tables["surgery_log_detail"]
     logs = (
@@ -117,7 +125,12 @@ def surgical_cohort(
 
 
 def scheduled_cases(
-    tables: SourceTables, current: DataFrame, due: DataFrame, cfg: ForecastConfig, stage=Lazy()
+    tables: SourceTables,
+    current: DataFrame,
+    due: DataFrame,
+    cfg: ForecastConfig,
+    stage=Lazy(),
+    contacts: DataFrame | None = None,
 ) -> DataFrame:
     """First case on the surgery schedule of each patient not yet admitted.
 
@@ -130,7 +143,7 @@ def scheduled_cases(
     primary = (
         tables["case_procedure"].where(F.col("line") == 1).select("case_id", "procedure_id")
     )
-    booked = tables["contact"].select(F.col("csn").alias("contact_csn"), "entry_ts")
+    booked = _booked(tables, contacts)
     admitted = tables["encounter"].select("csn", F.col("admit_ts").alias("case_admit_ts"))
     excluded = current.select("pat_id").union(due.select("pat_id")).distinct()
     first_day = cfg.as_of if cfg.rank_future_only else cfg.hist_start

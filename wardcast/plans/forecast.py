@@ -122,9 +122,19 @@ class Forecast:
     def newborns(self) -> DataFrame:
         return newborns.newborn_cohort(self.encounters, self.tables["patient"], self.deliveries, self.cfg)
 
+    @cached_property
+    def bookings(self) -> DataFrame:
+        """When each contact was entered. What needs surgeries and the schedule makes it first, so that
+        both read what is stored."""
+        return self.stage("bookings", self.tables["contact"].select("csn", "entry_ts"))
+
+    def _contacts(self) -> DataFrame:
+        return self.bookings if "bookings" in self.__dict__ else self.tables["contact"]
+
     @cached_property
     def first_surgeries(self) -> DataFrame:
-        return surgery.first_procedure(surgery.performed_surgeries(self.tables, self.cfg, self.stage))
+        performed = surgery.performed_surgeries(self.tables, self.cfg, self.stage, self._contacts())
+        return surgery.first_procedure(performed)
 
     @cached_property
     def transfers(self) -> DataFrame:
@@ -219,7 +229,9 @@ class Forecast:
 
     @cached_property
     def expected_surgeries(self) -> DataFrame:
-        cases = surgery.scheduled_cases(self.tables, self.current, self.due, self.cfg, self.stage)
+        cases = surgery.scheduled_cases(
+            self.tables, self.current, self.due, self.cfg, self.stage, self._contacts()
+        )
         return surgery.scheduled_arrivals(cases, self.cfg)
 
     @cached_property
@@ -268,6 +280,7 @@ class Forecast:
     @cached_property
     def arriving_daily(self) -> DataFrame:
         """Heads per type and day by patients still to arrive, without a row per arrival group."""
+        _ = self.bookings
         return occupancy.daily_occupancy(
             self.predicted.unionByName(self.expected), self.curves, TYPE_KEYS, "horizon", ["prediction_status"]
         )
@@ -349,6 +362,7 @@ class Forecast:
     @cached_property
     def rows(self) -> DataFrame:
         """Forecast and history in the output layout."""
+        _ = self.bookings
         return (
             self.current_rows.unionByName(self.arriving_rows).unionByName(self.history_rows).select(*OUTPUT_COLUMNS)
         )
