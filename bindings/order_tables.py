@@ -14,6 +14,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 
 from wardcast.config import ForecastConfig, SiteCodes
+from wardcast.plans.staging import Lazy
 from wardcast.sources.tables import SourceTables
 
 CONFIG = ForecastConfig(
@@ -222,14 +223,27 @@ SOURCE_SQL: dict[str, str] = {
 }
 
 
-def source_tables(spark: SparkSession, sf_dir: str) -> SourceTables:
+# The tables that nearly all of the texts group or join by order, and the order's column.
+BY_ORDER = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
+
+
+def source_tables(spark: SparkSession, sf_dir: str, stage=Lazy()) -> SourceTables:
     """Source tables over the test tables in ``sf_dir``. There is no calendar
-    table, so the days are generated from the configured dates."""
+    table, so the days are generated from the configured dates.
+
+    If ``stage`` stores results, orders and lines are stored in buckets by order, all rows with the columns that
+    a text names, so that they are shuffled once for all texts instead of once for each.
+    """
     base: dict[str, DataFrame] = {}
 
+    def named(df: DataFrame) -> DataFrame:
+        return df.select(*[c for c in df.columns if any(c in text for text in SOURCE_SQL.values())])
+
     def open_base(name: str) -> DataFrame:
         if name not in base:
-            base[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            stored = stage.stores and name in BY_ORDER
+            base[name] = stage(f"base_{name}", named(df), by=BY_ORDER[name]) if stored else df
         return base[name]
 
     def open_table(name: str) -> DataFrame:

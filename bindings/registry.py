@@ -28,7 +28,7 @@ from wardcast.operators import (
 from wardcast.operators.profile import EMERGENCY, OB, OTHER, TYPE_KEYS
 from wardcast.plans.forecast import Forecast
 from wardcast.plans.history import CensusHistory, StayHistory
-from wardcast.plans.staging import Lazy
+from wardcast.plans.staging import Lazy, Tables
 from wardcast.sources.sink import read_forecast, write_forecast
 from wardcast.sources.tables import SourceTables
 
@@ -49,11 +49,16 @@ def query(name: str, sql: str):
     return register
 
 
-def staged_query(name: str, sql: str):
-    """Register a query that reads the whole forecast, with its results staged."""
+def staged_query(name: str, sql: str, by_order: bool = True):
+    """Register a query that reads the whole forecast, with its results staged, and before them the orders and
+    lines that the source tables are made of, unless it needs few of those (``by_order``)."""
+
+    def run(build: Callable[[Forecast], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
+        stage = Tables(spark)
+        return build(Forecast(source_tables(spark, sf_dir, stage if by_order else Lazy()), CONFIG, stage))
 
     def register(build: Callable[[Forecast], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: build(Forecast(source_tables(spark, sf_dir), CONFIG))
+        QUERIES[name] = lambda spark, sf_dir: run(build, spark, sf_dir)
         BUILDS[name] = build
         SQL[name] = statement(sql)
         return build
@@ -541,6 +546,7 @@ def _(f):
 @staged_query(
     "q39_service_curves_by_day",
     "SELECT service_group, service_name, day_num, denominator, numerator, probability FROM svc_curve",
+    by_order=False,
 )
 def _(f):
     kept = StayHistory(f.tables.spark, f"{f.stage.root}/stays", ["service_group", "service_name"], f.cfg.curve_days)
