@@ -67,6 +67,15 @@ def test_lines_are_not_shuffled_again_for_a_table(spark, stage, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_rows_of_a_bucket_are_stored_in_order(spark, stage, tmp_path):
+    keys = spark.range(1000).selectExpr("nullif(id * 7919 % 100, 5) * 1000 AS key", "id % 10 AS other")
+    kept = stage("keys", keys, by="key")
+    assert rows(kept) == rows(keys)
+    for at in tmp_path.glob("kept/*/keys/*.parquet"):
+        held = [-1 if k is None else k for k in pq.read_table(at)["key"].to_pylist()]
+        assert held and held == sorted(held)
+
+
 def test_queries_over_the_profile_read_stored_lines(spark, stage, tmp_path, monkeypatch):
     monkeypatch.setattr(registry, "Tables", lambda spark: stage)
     registry.QUERIES["q28_source_tags"](spark, DATA)

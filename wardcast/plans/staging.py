@@ -40,7 +40,8 @@ class Tables:
 
     With ``by`` the result is stored as a table in buckets of that column, as many as a
     shuffle has partitions, so that joins and groups by it move the other side only; it is
-    written in the partitions its own last join left, if that was by the column.
+    written in the partitions its own last join left, if that was by the column. The rows of a
+    bucket are in order of the column, so that its values compress when there are too many for a dictionary.
 
     Everything is in a folder of the run's own. ``close``, or leaving a ``with`` block,
     removes it; results that read staged tables must be stored by then.
@@ -62,7 +63,8 @@ class Tables:
         buckets = int(self._spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"wardcast_{self._id}_{name}"
         # One file per bucket: a task holds whole buckets.
-        df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", path).saveAsTable(table)
+        rows = df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by)
+        rows.option("path", path).saveAsTable(table)
         self._bucketed.append(table)
         return self._spark.table(table)
 
