@@ -108,6 +108,30 @@ def test_left_join_with_many_rows_of_a_key(spark, stage, monkeypatch):
         assert rows(split.left_join_many(one, many), "k", "v", "n") == want
 
 
+@pytest.mark.parametrize("hashes", [1, 4096])
+def test_keys_are_counted_only_by_hashes_of_many_rows(spark, stage, monkeypatch, hashes):
+    class Recorded:
+        stores = True
+
+        def __init__(self):
+            self.plans = {}
+
+        def __call__(self, name, df):
+            self.plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+            return stage(name, df)
+
+    monkeypatch.setattr(keys, "_HASHES", hashes)
+    monkeypatch.setattr(keys, "MOST_ROWS", 100)
+    even = spark.range(9_000).select((F.col("id") % 3_000).alias("k"))
+    seen = Recorded()
+    assert Split.of(even, "k", seen, f"even{hashes}").heavy is None
+    # None of 4,096 hashes has so many rows of so few a key; the only hash has.
+    assert list(seen.plans) == ([f"even{hashes}_hashes"] if hashes > 1 else ["even1_hashes", "even1"])
+    assert "Aggregate [_hash" in seen.plans[f"even{hashes}_hashes"]
+    many = even.unionByName(spark.range(200).selectExpr("7L AS k")).unionByName(spark.range(300).selectExpr("CAST(NULL AS BIGINT) AS k"))
+    assert rows(Split.of(many, "k", stage, f"many{hashes}").heavy) == [(7, 3)]
+
+
 def test_small_tables_are_not_counted(spark, stage, monkeypatch):
     monkeypatch.setattr(keys, "MOST_ROWS", 1)
     many = stage("many", skewed(spark)[0])

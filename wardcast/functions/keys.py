@@ -20,6 +20,8 @@ _WORDS, _MARKS, _BITS_PER_KEY = 1024, 3, 8
 #: Standard error of the sketch that counts keys.
 _SKETCH_ERROR = 0.02
 _PART = "_part"
+#: Hashes by which rows are counted before their keys are.
+_HASHES = 4096
 #: A table that Spark takes to be smaller has no key worth splitting, whatever its rows.
 _SMALL_BYTES = 64 << 20
 
@@ -146,8 +148,9 @@ class Split:
 
     The side with many rows of a key is dealt into the key's parts, the side with one row of a
     key (or few) is repeated for each. Joins, and chains of joins, are then on :attr:`on`, and
-    no task gets more of a key than a part. The heavy keys are found once, by a count that is
-    added up in the tasks first, and at most one for every ``MOST_ROWS`` rows, so they can be broadcast.
+    no task gets more of a key than a part. The heavy keys are found once, and are at most one for every
+    ``MOST_ROWS`` rows, so they can be broadcast. Rows are counted by a hash of the key first, which leaves a
+    task as a few thousand sums; only keys whose hash has enough rows for a heavy key are counted themselves.
     """
 
     key: str
@@ -159,7 +162,12 @@ class Split:
         none otherwise."""
         if not stage.stores or _is_small(rows):
             return cls(key)
-        counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+        rows = rows.select(key, F.pmod(F.xxhash64(key), F.lit(_HASHES)).alias("_hash")).where(F.col(key).isNotNull())
+        hashes = rows.groupBy("_hash").agg(F.count("*").alias("n")).where(F.col("n") > MOST_ROWS)
+        hashes = stage(f"{name}_hashes", hashes.select("_hash"))
+        if not hashes.limit(1).count():
+            return cls(key)
+        counted = rows.join(F.broadcast(hashes), "_hash", "left_semi").groupBy(key).agg(F.count("*").alias("n"))
         parts = F.ceil(F.col("n") / F.lit(MOST_ROWS)).cast("int")
         heavy = stage(name, counted.where(F.col("n") > MOST_ROWS).select(key, parts.alias("_parts")))
         return cls(key, heavy if heavy.limit(1).count() else None)
